@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -60,6 +61,49 @@ def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+# ---- one of many names -----------------------------------------------------
+
+
+def _any_of(words: Sequence[str]) -> str:
+    """One pattern for many words, shared beginnings written once, longest first."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            tails.setdefault(word[0], []).append(word[1:])
+    branches = []
+    for first, rest in sorted(tails.items()):
+        more = _any_of([r for r in rest if r])
+        if len(rest) == 1:
+            branches.append(re.escape(first + rest[0]))
+        else:
+            branches.append(f"{re.escape(first)}(?:{more})" + ("?" if "" in rest else ""))
+    return "|".join(branches)
+
+
+def contains_any(lowered: Column, words: Sequence[str]) -> Column:
+    return lowered.rlike(_any_of([w.lower() for w in words]))
+
+
+def first_of(lowered: Column, words: Sequence[str], word_bound: bool = False) -> Column:
+    """Index of the first word, in list order, that a lower-cased text contains.
+
+    One pass over the text finds the longest word at every position; a found
+    word also stands for the listed words inside it.
+    """
+    low = [w.lower() for w in words]
+    pad = " " if word_bound else ""
+    best = {
+        word: min(i for i, other in enumerate(low) if f"{pad}{other}{pad}" in f"{pad}{word}{pad}")
+        for word in low
+    }
+    edge = r"[\p{L}\p{N}]"
+    any_word = f"({_any_of(list(best))})"
+    pattern = f"(?<!{edge}){any_word}(?!{edge})" if word_bound else any_word
+    found = F.regexp_extract_all(lowered, F.lit(f"(?={pattern})"), F.lit(1))
+    rank = F.create_map(*[F.lit(x) for pair in best.items() for x in pair])
+    return F.array_min(F.transform(found, lambda w: F.element_at(rank, w)))
+
+
 # ---- posts and lines -------------------------------------------------------
 
 
@@ -100,9 +144,8 @@ def is_struck(line: Column) -> Column:
 def is_informative(line: Column, brands: Sequence[str] = LINE_BRANDS) -> Column:
     """No picture link, and a digit or a known brand somewhere."""
     low = F.lower(line)
-    known = F.array(*[F.lit(b.lower()) for b in brands])
     return ~F.contains(low, F.lit("imgur.com")) & (
-        line.rlike(r"\p{Nd}") | F.exists(known, lambda b: F.contains(low, b))
+        line.rlike(r"\p{Nd}") | contains_any(low, brands)
     )
 
 
@@ -111,37 +154,17 @@ def is_informative(line: Column, brands: Sequence[str] = LINE_BRANDS) -> Column:
 
 def brand_of(lowered: Column, brands: Sequence[str] = BRANDS, word_bound: bool = False) -> Column:
     """First brand in list order that occurs in an already lower-cased text."""
-    known = F.array(
-        *[F.struct(F.lit(b.lower()).alias("low"), F.lit(b).alias("name")) for b in brands]
-    )
-    if word_bound:
-        edge = r"[\p{L}\p{N}]"
-        hits = F.filter(
-            known,
-            lambda b: F.regexp_like(
-                lowered,
-                F.concat(F.lit(f"(?<!{edge})\\Q"), b["low"], F.lit(f"\\E(?!{edge})")),
-            ),
-        )
-    else:
-        hits = F.filter(known, lambda b: F.contains(lowered, b["low"]))
-    return F.get(hits, F.lit(0))["name"]
+    names = F.array(*[F.lit(b) for b in brands])
+    return F.get(names, first_of(lowered, brands, word_bound))
 
 
 def alias_of(lowered: Column, dim=None) -> Column:
     """First alias, in table order, that occurs in a lower-cased text: ``(alias, canonical)``."""
-    dim = brand_dim() if dim is None else dim
+    rows = sorted(brand_dim() if dim is None else dim)
     known = F.array(
-        *[
-            F.struct(
-                F.lit(alias.lower()).alias("low"),
-                F.lit(alias).alias("alias"),
-                F.lit(canonical).alias("canonical"),
-            )
-            for _, alias, canonical in sorted(dim)
-        ]
+        *[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("canonical")) for _, a, c in rows]
     )
-    return F.get(F.filter(known, lambda b: F.contains(lowered, b["low"])), F.lit(0))
+    return F.get(known, first_of(lowered, [a for _, a, _ in rows]))
 
 
 def without_alias(text: Column, alias: Column) -> Column:

@@ -27,6 +27,11 @@ REPLY_SCHEMA = (
     "raw_text: string, size: double, price: double>>"
 )
 
+ITEMS = (
+    "array<struct<raw_text: string, brand: string, frag_name: string, size_ml: double, "
+    "price_usd: double, fill_percent: double, status: string>>"
+)
+
 
 def sale_posts(posts: DataFrame, mode: str = "strict") -> DataFrame:
     return posts.filter(X.is_sale_post(F.col("title"), mode))
@@ -70,11 +75,11 @@ def line_batches(
 ) -> DataFrame:
     """Informative lines of each post in consecutive chunks, joined by line breaks."""
     kept = posts.select(*keep, _kept_lines(F.col("body"), brands).alias("_lines"))
-    starts = F.sequence(F.lit(1), F.size("_lines"), F.lit(size))
+    count = F.size("_lines")
+    starts = F.when(count > 0, F.sequence(F.lit(1), count, F.lit(size)))
     chunks = F.transform(starts, lambda at: F.slice("_lines", at, F.lit(size)))
     return (
-        kept.filter(F.size("_lines") > 0)
-        .select(*keep, F.posexplode(chunks).alias("batch", "lines"))
+        kept.select(*keep, F.posexplode(chunks).alias("batch", "lines"))
         .select(
             *keep,
             "batch",
@@ -149,7 +154,10 @@ def reply_listings(replies: DataFrame, *keep: str, reply: str = "reply") -> Data
     """One row per extracted item, numbered from 0 inside its reply."""
     parsed = parse_replies(replies, *keep, reply=reply)
     item = F.col("item")
-    return parsed.select(*keep, F.posexplode("items").alias("item_no", "item")).select(
+    # Outer, then filtered: a plain explode of a column makes the optimizer test
+    # its size in a filter below, where the column is worked out a second time.
+    rows = parsed.select(*keep, F.posexplode_outer("items").alias("item_no", "item"))
+    return rows.filter(F.col("item_no").isNotNull()).select(
         *keep,
         "item_no",
         *[item[c].alias(c) for c in ("author", "flair", "brand", "frag_name")],
@@ -183,32 +191,44 @@ def _listing_array(body: Column, brands: Sequence[str], strike_sold: bool, word_
         )
     )
 
-    def fields(p: Column) -> Column:
+    def measured(p: Column) -> Column:
+        return F.struct(
+            p["text"].alias("text"),
+            p["low"].alias("low"),
+            p["struck"].alias("struck"),
+            X.size_ml(p["text"]).alias("size_ml"),
+            X.price_usd(p["text"]).alias("price_usd"),
+        )
+
+    def branded(p: Column) -> Column:
+        return F.struct(
+            p["text"].alias("text"),
+            p["struck"].alias("struck"),
+            p["size_ml"].alias("size_ml"),
+            p["price_usd"].alias("price_usd"),
+            X.brand_of(p["low"], brands, word_bound).alias("brand"),
+        )
+
+    def finished(p: Column) -> Column:
         status = X.status_of(p["text"])
         if strike_sold:
             status = F.when(p["struck"], F.lit("SOLD")).otherwise(status)
+        name = X.clean_item_name(X.without_brand(p["text"], p["brand"]))
         return F.struct(
             p["text"].alias("raw_text"),
-            X.brand_of(p["low"], brands, word_bound).alias("brand"),
-            X.size_ml(p["text"]).alias("size_ml"),
-            X.price_usd(p["text"]).alias("price_usd"),
+            p["brand"].alias("brand"),
+            name.alias("frag_name"),
+            p["size_ml"].alias("size_ml"),
+            p["price_usd"].alias("price_usd"),
+            X.fill_percent(p["text"], p["size_ml"]).alias("fill_percent"),
             status.alias("status"),
         )
 
-    # Cheap test first: name and brand are worked out for kept fragments only.
-    worth = F.filter(pieces, lambda p: X.is_listing(X.price_usd(p["text"]), X.size_ml(p["text"])))
-    return F.transform(
-        F.transform(worth, fields),
-        lambda q: F.struct(
-            q["raw_text"].alias("raw_text"),
-            q["brand"].alias("brand"),
-            X.clean_item_name(X.without_brand(q["raw_text"], q["brand"])).alias("frag_name"),
-            q["size_ml"].alias("size_ml"),
-            q["price_usd"].alias("price_usd"),
-            X.fill_percent(q["raw_text"], q["size_ml"]).alias("fill_percent"),
-            q["status"].alias("status"),
-        ),
+    # Brand and name are worked out for kept fragments only, each value once.
+    worth = F.filter(
+        F.transform(pieces, measured), lambda p: X.is_listing(p["price_usd"], p["size_ml"])
     )
+    return F.transform(F.transform(worth, branded), finished)
 
 
 def post_listings(
@@ -225,22 +245,23 @@ def post_listings(
     """
     items = _listing_array(F.col("body"), brands, strike_sold, word_bound)
     wanted = X.is_sale_post(F.col("title"), mode)
-    none = F.filter(items, lambda _: F.lit(False))
+    none = F.array().cast(ITEMS)
     return posts.withColumn("items", F.when(wanted, items).otherwise(none))
 
 
 def attach_post(with_items: DataFrame, *extra: str) -> DataFrame:
     """One row per listing with its key, the fields of its post and ``extra`` item fields."""
     item = ("brand", "frag_name", "size_ml", "price_usd", "fill_percent", "status", "raw_text")
+    # Outer for the reason given in reply_listings.
     exploded = with_items.filter(X.blank_to_null(F.col("url")).isNotNull()).select(
         "author",
         "flair",
-        F.posexplode("items").alias("_pos", "_item"),
+        F.posexplode_outer("items").alias("_pos", "_item"),
         F.col("url").alias("post_url"),
         F.col("title").alias("post_title"),
         F.col("date").alias("post_date"),
     )
-    return exploded.select(
+    return exploded.filter(F.col("_pos").isNotNull()).select(
         "author",
         "flair",
         *[F.col(f"_item.{c}") for c in item],
