@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Columns as ``name type, ...``; usable before there is a session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 POSTS_RAW = _schema(
@@ -51,13 +62,21 @@ ALERTS = _schema(
     "alert_id string, email string, type string, target_name string, "
     "threshold double, created_at timestamp, active boolean"
 )
-ALERT_EVENTS = _schema(
-    "event_key string, alert_id string, alert_type string, email string, "
-    "target_name string, listing_key string, "
-    "listing struct<brand: string, frag_name: string, price_usd: double, "
-    "post_url: string, raw_text: string>, "
-    "reason string, matched_at timestamp, notified_at timestamp, "
-    "resend_response string, created_at timestamp"
+_MATCHED_LISTING = _schema(
+    "brand string, frag_name string, price_usd double, post_url string, raw_text string"
+)
+ALERT_EVENTS = T.StructType(
+    [
+        *_schema(
+            "event_key string, alert_id string, alert_type string, email string, "
+            "target_name string, listing_key string"
+        ).fields,
+        T.StructField("listing", _MATCHED_LISTING),
+        *_schema(
+            "reason string, matched_at timestamp, notified_at timestamp, "
+            "resend_response string, created_at timestamp"
+        ).fields,
+    ]
 )
 
 # Older extracts use other names for the same fields.
