@@ -77,8 +77,9 @@ def in_file_order(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns=None, mode: str = "overwrite") -> None:
-    (df.select(*columns) if columns else df).write.mode(mode).option("header", True).option(
-        "escape", '"'
+    rows = df.select(*columns) if columns else df
+    rows.write.mode(mode).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
 
 
