@@ -114,7 +114,8 @@ def clean_item_name(x: str) -> str:
 
 
 def size_ml(x: str) -> str:
-    return f"greatest({double(extract(x, X.SIZE, 1))}, {double(extract(x, X.SIZE, 2))})"
+    sizes = f"string_split({extract(x, X.SIZE, 1)}, '/')"
+    return f"list_max(list_transform({sizes}, lambda n: {double(strip('n'))}))"
 
 
 def price_usd(x: str) -> str:

@@ -15,21 +15,33 @@ VOLATILITY_MAX = 100
 # --- end of fixed values ---
 
 
-def seller_weight(flair: Column) -> Column:
-    """Trust in a seller: squared sales up to 15, then a slow logarithm; no flair is 1."""
-    found = F.regexp_extract(flair, SALES, 1).try_cast("double")
-    sales = F.coalesce(found, F.lit(0.0))
-    return (
-        F.when(flair.isNull(), F.lit(1.0))
-        .when(sales <= FLAT_SALES, sales * sales)
-        .otherwise(F.lit(LOG_SLOPE) * F.ln(F.greatest(sales, F.lit(1.0))) + F.lit(LOG_OFFSET))
+def seller_sales(flair: Column) -> Column:
+    """Sales that a flair claims; none claimed is 0, and no flair at all counts as one sale."""
+    claimed = F.regexp_extract(flair, SALES, 1).try_cast("double")
+    return F.when(flair.isNull(), F.lit(1.0)).otherwise(F.coalesce(claimed, F.lit(0.0)))
+
+
+def weight_of_sales(sales: Column) -> Column:
+    """Trust in a seller: squared sales up to 15, then a slow logarithm."""
+    return F.when(sales <= FLAT_SALES, sales * sales).otherwise(
+        F.lit(LOG_SLOPE) * F.ln(sales) + F.lit(LOG_OFFSET)
     )
 
 
+def seller_weight(flair: Column) -> Column:
+    return weight_of_sales(seller_sales(flair))
+
+
+def fill_share(fill: Column) -> Column:
+    """Percent of a bottle that is left; unknown means full, more than full is full."""
+    full = F.lit(100.0)
+    return F.least(F.nanvl(F.coalesce(fill, full), full), full)
+
+
 def full_bottle_price(price: Column, fill: Column) -> Column:
-    """Price scaled to a full bottle; no fill means full, none left means unknown."""
-    percent = F.least(F.coalesce(fill, F.lit(100.0)), F.lit(100.0))
-    return F.when(percent > 0, price / F.nullif(percent / 100.0, F.lit(0.0)))
+    """Price scaled to a full bottle; with none left it is unknown."""
+    share = fill_share(fill)
+    return F.when(share > 0, F.try_divide(price, share / 100.0))
 
 
 def volatility(avg: Column, std: Column) -> Column:

@@ -32,7 +32,7 @@ STRUCK = "~~.*~~"
 URL = rf"https?://[^{WS}]+"
 PARENTHESISED = r"\([^\n]*?\)"
 DESCRIPTORS = ["see level", "full presentation", "BNIB", "shipped", "SOLD", "🚢", "~", "**"]
-SIZE = rf"(?i)(?:(\d+(?:\.\d+)?)[{WS}]*/[{WS}]*)?(\d+(?:\.\d+)?)[{WS}]*ml"
+SIZE = rf"(?i)((?:\d+(?:\.\d+)?[{WS}]*/[{WS}]*)*\d+(?:\.\d+)?)[{WS}]*ml"
 PRICE = rf"\$[{WS}]*((?:\d{{1,3}}(?:,\d{{3}})+|\d+)(?:\.\d+)?)"
 FILL = rf"(\d{{1,3}})[{WS}]?%"
 FILL_ML = rf"(?i)≈(\d+)[{WS}]?ml"
@@ -64,6 +64,9 @@ def nan_to_null(c: Column) -> Column:
 # ---- one of many names -----------------------------------------------------
 
 
+_BRANCHES = 5
+
+
 def _any_of(words: Sequence[str]) -> str:
     """One pattern for many words, shared beginnings written once, longest first."""
     tails: dict[str, list[str]] = {}
@@ -77,7 +80,15 @@ def _any_of(words: Sequence[str]) -> str:
             branches.append(re.escape(first + rest[0]))
         else:
             branches.append(f"{re.escape(first)}(?:{more})" + ("?" if "" in rest else ""))
-    return "|".join(branches)
+    if len(branches) <= _BRANCHES:
+        return "|".join(branches)
+    # Many first letters: look at the letter before trying the words of its part.
+    firsts = sorted(tails)
+    parts = []
+    for at in range(0, len(branches), _BRANCHES):
+        letters = "".join(re.escape(c) for c in firsts[at : at + _BRANCHES])
+        parts.append(f"(?=[{letters}])(?:{'|'.join(branches[at : at + _BRANCHES])})")
+    return "|".join(parts)
 
 
 def contains_any(lowered: Column, words: Sequence[str]) -> Column:
@@ -190,9 +201,8 @@ def clean_item_name(name: Column) -> Column:
 
 def size_ml(text: Column) -> Column:
     """``50ml`` is 50, ``45/50 ml`` is 50, ``7.5ml`` is 7.5."""
-    left = F.regexp_extract(text, SIZE, 1).try_cast("double")
-    right = F.regexp_extract(text, SIZE, 2).try_cast("double")
-    return F.greatest(left, right)
+    sizes = F.split(F.regexp_extract(text, SIZE, 1), "/")
+    return F.array_max(F.transform(sizes, lambda n: strip(n).try_cast("double")))
 
 
 def price_usd(text: Column) -> Column:

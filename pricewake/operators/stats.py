@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewake.functions import pricing as P
-from pricewake.functions.text import market_name, nan_to_null
+from pricewake.functions.text import market_name
 
 _STEPS_PER_OCTAVE = 16
 
@@ -31,16 +31,23 @@ def weighted_rows(listings: DataFrame) -> DataFrame:
 
     Reads ``flair, frag_name, price, fill_percent``.
     """
-    return (
-        listings.select(
-            market_name(F.col("frag_name")).alias("frag_name"),
-            P.seller_weight(F.col("flair")).alias("weight"),
-            nan_to_null(P.full_bottle_price(F.col("price"), F.col("fill_percent"))).alias(
-                "normalized_price"
-            ),
-        )
-        .filter(F.col("frag_name").isNotNull())
-        .filter(F.col("normalized_price").isNotNull() & (F.col("weight") > 0))
+    price, fill = F.col("price"), F.col("fill_percent")
+    # Tested on the raw columns: a filter on the finished ones would work each
+    # of them out twice.
+    usable = listings.filter(
+        F.col("frag_name").isNotNull()
+        & price.isNotNull()
+        & ~F.isnan(price)
+        & (P.fill_share(fill) > 0)
+    )
+    sold = usable.select(
+        market_name(F.col("frag_name")).alias("frag_name"),
+        P.full_bottle_price(price, fill).alias("normalized_price"),
+        P.seller_sales(F.col("flair")).alias("_sales"),
+    )
+    # Without sales there is no weight, and with any the weight is positive.
+    return sold.filter(F.col("_sales") > 0).select(
+        "frag_name", P.weight_of_sales(F.col("_sales")).alias("weight"), "normalized_price"
     )
 
 

@@ -1,0 +1,283 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricewake.functions import text as X
+from pricewake.functions.brands import ALIASES, BRANDS, LINE_BRANDS, brand_dim
+from pricewake.operators import posts as PO
+
+
+def values(spark, texts, make):
+    """One result per text, in the order of the texts."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = rows.select("i", make(F.col("t")).alias("v")).orderBy("i").collect()
+    return [r["v"] for r in out]
+
+
+def check(spark, make, cases):
+    assert values(spark, list(cases), make) == list(cases.values())
+
+
+def test_size(spark):
+    check(
+        spark,
+        X.size_ml,
+        {
+            "Queening 100ml see level": 100.0,
+            "Alexandria 14/15ml": 15.0,
+            "oil 2.9/3ml": 3.0,
+            "travel 7.5 mL": 7.5,
+            "49 / 50 ML left": 50.0,
+            "3.4oz": None,
+            "ml": None,
+            "": None,
+        },
+    )
+
+
+def test_price(spark):
+    check(
+        spark,
+        X.price_usd,
+        {
+            "x $190": 190.0,
+            "x $ 45.50 shipped": 45.5,
+            "$1,200": 1200.0,
+            "$1,234,567.25": 1234567.25,
+            "Aqua 3.4oz60%$20": 20.0,
+            "$ -": None,
+            "190": None,
+        },
+    )
+
+
+def test_fill(spark):
+    check(
+        spark,
+        lambda t: X.fill_percent(t, X.size_ml(t)),
+        {
+            "50ml 97%": 97.0,
+            "50ml 97 %": 97.0,
+            "≈25ml of 50ml": 100.0,
+            "x ≈25 ml": 100.0,
+            "1000%": 0.0,
+            "50ml": None,
+        },
+    )
+    check(spark, lambda t: X.fill_percent(t, F.lit(50.0)), {"≈25ml": 50.0, "≈25": None})
+    check(spark, lambda t: X.fill_percent(t, F.lit(0.0)), {"≈25ml": None})
+
+
+def test_status(spark):
+    check(
+        spark,
+        X.status_of,
+        {
+            "unsold": "SOLD",
+            "Available, not listed": "AVAILABLE",
+            "listed": "LISTED",
+            "listed and sold": "SOLD",
+            "pending": None,
+        },
+    )
+
+
+def test_name(spark):
+    check(
+        spark,
+        X.clean_item_name,
+        {
+            "Aventus (F000) 100ml - $180": "Aventus 100ml $180",
+            "Oud https://imgur.com/a/b  BNIB shipped": "Oud",
+            "~~SOLD  Aventus~~": "Aventus",
+            "** see level** x*y-z 🚢": "xyz",
+            " a  b ": "a b",
+        },
+    )
+
+
+def test_search_text(spark):
+    check(
+        spark,
+        X.search_text,
+        {"  L’Homme -- 100% ": "l homme 100", "": "", None: "", "É": "", "A_b": "a b"},
+    )
+
+
+def test_market_and_plain_names(spark):
+    check(spark, X.market_name, {" Oud (100ml) wood (x) ": "OUD  WOOD", "(x)": "", None: None})
+    check(spark, X.plain_name, {"Bleu (new) de-Chanel!\t2": "Bleu  deChanel\t2"})
+
+
+def test_number(spark):
+    check(
+        spark,
+        X.number,
+        {
+            "12": 12.0, " -1.5e2 ": -150.0, ".5": 0.5, "7.": 7.0, "12d": None, "nan": None,
+            "Infinity": None, "1,200": None, "": None, None: None,
+        },
+    )
+
+
+def test_brand_first_in_list_order(spark):
+    texts = [
+        "christian DIOR sauvage", "jo malone london x", "jo malone x", "Summer rain", "nothing",
+        "by Kilian", "CREED and Dior", "dior then creed", "mmontale", "Giorgio Armani", "hermès",
+        "HERMÈS", "viktor & rolf", "penhaligon's", "", "al-rehab", "ysl", "jo malon",
+    ]
+    texts += [b.upper() for b in BRANDS] + [f"x{a}{b}y" for a, b in zip(BRANDS, BRANDS[7:])]
+
+    def expected(t, brands):
+        return next((b for b in brands if b.lower() in t.lower()), None)
+
+    for brands in (BRANDS, LINE_BRANDS, ["ab", "abc", "b", "bcd", "a"]):
+        sample = texts + ["abcd", "bcd", "zbc", "xabc"]
+        got = values(spark, sample, lambda t: X.brand_of(F.lower(t), brands))
+        assert got == [expected(t, brands) for t in sample]
+        found = values(spark, sample, lambda t: X.contains_any(F.lower(t), brands))
+        assert found == [expected(t, brands) is not None for t in sample]
+
+
+def test_brand_as_whole_words(spark):
+    texts = ["Summer MM", "Summer", "diorissimo", "x-Dior!", "christian dior", "jo malone londoner"]
+    got = values(spark, texts, lambda t: X.brand_of(F.lower(t), word_bound=True))
+    assert got == ["MM", None, None, "Dior", "Dior", "Jo Malone"]
+
+
+def test_alias(spark):
+    texts = ["MFK Baccarat", "xYsLx y", "Yves Saint laurent Libre", "Dior mfk", "none", "ATHena"]
+    dim = brand_dim()
+
+    def expected(t):
+        for _, alias, canonical in dim:
+            if alias.lower() in t.lower():
+                return canonical, re.sub(re.escape(alias), "", t, flags=re.IGNORECASE).strip()
+        return None, t
+
+    def found(t):
+        hit = X.alias_of(F.lower(t))
+        return F.struct(hit["canonical"], X.without_alias(t, hit["alias"]))
+
+    assert [tuple(v) for v in values(spark, texts, found)] == [expected(t) for t in texts]
+    assert [a for _, a, _ in dim][: len(ALIASES)] == [a for a, _ in ALIASES]
+
+
+@pytest.mark.parametrize(
+    "title, strict, plural, any_",
+    [
+        ("[WTS] A (Bottle)", True, True, True),
+        ("[wts] A (bottles)", False, True, True),
+        ("[WTS] A (decant)", False, False, True),
+        ("[WTB] A (bottle)", False, False, False),
+        (None, False, False, False),
+    ],
+)
+def test_sale_posts(spark, title, strict, plural, any_):
+    row = spark.createDataFrame([(title,)], "t string").select(
+        *[X.is_sale_post(F.col("t"), m) for m in ("strict", "plural", "any")]
+    ).first()
+    assert tuple(row) == (strict, plural, any_)
+
+
+def test_lines_like_splitlines(spark):
+    bodies = [
+        "a\r\nb\rc\nd\x0be\x0cf\x1cg\x1dh\x1ei\x85j k l", "\n\n x \n", "", None,
+        "　a\xa0\n\t\n", "a\n\rb",
+    ]
+    got = values(spark, bodies, X.lines)
+    assert got == [[p.strip() for p in (b or "").splitlines() if p.strip()] for b in bodies]
+
+
+def test_fragments(spark):
+    texts = ["A $1,200, B and C", "a,b", " and ", "x,123", "x,1234", "1,234,567", "sand and"]
+    assert values(spark, texts, X.fragments) == [
+        ["A $1,200", "B", "C"], ["a", "b"], [], ["x,123"], ["x", "1234"], ["1,234,567"],
+        ["sand and"],
+    ]
+
+
+def test_informative_lines(spark):
+    body = "hello there\nhttps://IMGUR.com/1\nCreed 😀x\n~~Dior~~\n50 off\nsummer\n٣\n🚢"
+    posts = spark.createDataFrame([("u", body)], "url string, body string")
+    rows = PO.informative_lines(posts, "url").orderBy("line_no").collect()
+    assert [(r.line_no, r.line, r.struck) for r in rows] == [
+        (0, "Creed x", False), (1, "~~Dior~~", True), (2, "50 off", False), (3, "summer", False),
+        (4, "٣", False),
+    ]
+
+
+def test_line_batches(spark):
+    bodies = [("a", "\n".join(f"{i} x" for i in range(21))), ("b", "no"), ("c", None)]
+    posts = spark.createDataFrame(bodies, "url string, body string")
+    rows = PO.line_batches(posts, "url").orderBy("batch").collect()
+    assert [(r.url, r.batch, r.line_count) for r in rows] == [
+        ("a", 0, 10), ("a", 1, 10), ("a", 2, 1),
+    ]
+    assert rows[1].text == "\n".join(f"{i} x" for i in range(10, 20))
+
+
+def test_extracted_listings(spark):
+    body = (
+        "~~SOLD Creed Aventus (F000) 45/50ml $1,200 97%~~\n"
+        "Xerjoff Alexandria 3 - 14/15ml - $55 and Dior Sauvage 2.9/3ml, nothing\n\n"
+        "Summer hammer 50ml BNIB ≈25ml\nfree $0"
+    )
+    posts = spark.createDataFrame(
+        [
+            ("[WTS] x (Bottle)", body, "me", "Sales:2", 1.0, "u"),
+            ("[WTB] (bottle)", body, "me", None, 1.0, "v"),
+            ("[WTS] (bottle)", None, "me", None, 1.0, "w"),
+            ("[WTS] (bottle)", body, "me", None, 1.0, None),
+        ],
+        "title string, body string, author string, flair string, date double, url string",
+    )
+    rows = PO.extract_listings(posts).orderBy("listing_key").collect()
+    assert [
+        (r.listing_key, r.brand, r.frag_name, r.size_ml, r.price_usd, r.fill_percent, r.status)
+        for r in rows
+    ] == [
+        ("u#0", "Creed", "Aventus 45/50ml $1,200 97%", 50.0, 1200.0, 97.0, "SOLD"),
+        ("u#1", "Xerjoff", "Alexandria 3 14/15ml $55", 15.0, 55.0, None, None),
+        ("u#2", "Dior", "Sauvage 2.9/3ml", 3.0, None, None, None),
+        ("u#3", "MM", "Summer hammer 50ml ≈25ml", 50.0, None, 50.0, None),
+    ]
+    struck = posts.filter("url = 'u'").withColumn("body", F.lit("~~Creed 5ml~~"))
+    assert PO.extract_listings(struck).first().status == "SOLD"
+    assert PO.extract_listings(struck, strike_sold=False).first().status is None
+
+
+def test_requests(spark):
+    posts = spark.createDataFrame(
+        [("u", "t", "Creed 5ml", 'a "b"', None)],
+        "url string, title string, body string, author string, flair string",
+    )
+    batch = PO.extraction_requests(PO.line_batches(posts, "url", "author", "flair")).first()
+    assert 'author: {"author":"a \\"b\\""}' in batch.request and "flair: {}" in batch.request
+    assert batch.request.endswith("lines:\nCreed 5ml")
+    whole = PO.extraction_requests(PO.post_texts(posts)).first()
+    assert whole.request.endswith("lines:\nt\nCreed 5ml")
+    piece = PO.fragment_texts(posts, "url").first()
+    assert (piece.brand, piece.text) == ("Creed", "5ml")
+
+
+def test_replies(spark):
+    replies = {
+        "array": '[{"brand":"X","frag_name":"n","size_ml":50,"price_usd":12.5}]',
+        "wrapped": 'Sure! ```json\n[{"brand":null,"size":3}]\n``` ok',
+        "empty": "[]",
+        "object": '{"brand":"x"}',
+        "inner object": 'x {"a":[1]} y',
+        "words": "nope",
+        "numbers": "[1,2]",
+        "cut": '[{"brand":"x"}',
+        "none": None,
+    }
+    df = spark.createDataFrame(list(replies.items()), "url string, reply string")
+    rows = PO.reply_listings(df, "url").orderBy("url").collect()
+    assert [(r.url, r.item_no, r.brand, r.size_ml) for r in rows] == [
+        ("array", 0, "X", 50.0), ("wrapped", 0, None, 3.0),
+    ]
+    bad = {r.url for r in PO.rejected_replies(df, "url").collect()}
+    assert bad == {"object", "inner object", "words", "numbers", "cut", "none"}
