@@ -38,7 +38,8 @@ def _select(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
 
 KEY = (
     "CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || "
-    "CAST(l_suppkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20))"
+    "CAST(l_suppkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || "
+    "CAST(CAST(l_quantity AS INT) AS VARCHAR(20))"
 )
 LISTING = {
     "author": "'Customer ' || CAST(o_custkey AS VARCHAR(20))",
