@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewake.functions.brands import BRANDS
+from pricewake.session import spread
 
 NOW = "2024-03-01 00:00:00"
 EARLIER = "2024-02-01 00:00:00"
@@ -63,7 +64,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     sales = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("sales"))
     lines = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
         .join(orders.join(sales, "o_custkey"), F.expr("l_orderkey = o_orderkey"))
     )
@@ -138,7 +139,7 @@ def _body(lf: str, crlf: str) -> str:
 
 
 def sale_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").join(
+    lines = spread(table(spark, sf_dir, "lineitem")).join(
         table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")
     )
     return _select(lines, {**SALE_POST, "body": _body("char(10)", "char(13) || char(10)")})
@@ -166,7 +167,7 @@ DOC_POST = {
 
 
 def doc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(table(spark, sf_dir, "documents"), DOC_POST)
+    return _select(spread(table(spark, sf_dir, "documents")), DOC_POST)
 
 
 DOC_POSTS_SQL = f"posts AS (SELECT {_columns(DOC_POST)} FROM documents)"
@@ -194,7 +195,7 @@ PAGE = {
 
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(table(spark, sf_dir, "part"), PAGE)
+    return _select(spread(table(spark, sf_dir, "part")), PAGE)
 
 
 # ---- alerts: one per customer ---------------------------------------------------------------
