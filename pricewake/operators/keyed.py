@@ -1,8 +1,8 @@
 """First, latest and upsert by key.
 
-All three are plain aggregates over a struct, so rows are combined before the
-shuffle: a key with a third of all rows reaches the reducer as one row per map
-task, and no task sorts a whole group.
+Rows of one key are reduced by plain aggregates over a struct, so they are
+combined before the shuffle: a key with a third of all rows reaches the reducer
+as one row per map task, and no task sorts a whole group.
 """
 
 from __future__ import annotations
@@ -58,83 +58,60 @@ def merge_by_key(
     * Several new rows with one key: the last in ``order`` wins, while the
       insert-only columns come from the first.
 
-    Adds ``_change``: ``kept``, ``inserted``, ``modified`` or ``matched``
-    (written again with equal values).
+    ``old`` has one row per key, and no key is null. Adds ``_change``:
+    ``kept``, ``inserted``, ``modified`` or ``matched`` (written again with
+    equal values).
     """
     given = [c for c in new.columns if c not in keys and c not in insert_only]
-    absent = [c for c in old.columns if c not in new.columns and c not in insert_only]
-    missing = [c for c in given + list(insert_only) if c not in old.columns]
+    missing = [c for c in new.columns if c not in old.columns]
     if missing:
         raise ValueError(f"the table has no column {', '.join(missing)}")
     types = {f.name: f.dataType for f in old.schema}
 
-    def shaped(df: DataFrame, is_new: bool) -> DataFrame:
-        ranks = [c.alias(f"o{i}") for i, c in enumerate(order)] if is_new else []
-        put = F.struct(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in given]) if given else (
-            F.struct(F.lit(0).alias("_none"))
-        )
-        once = F.struct(
-            *[
-                (F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(types[c]).alias(c)
-                for c in insert_only
-            ],
-            F.lit(0).alias("_none"),
-        )
-        keep = F.struct(
-            *[
-                (F.lit(None) if is_new else F.col(f"`{c}`")).cast(types[c]).alias(c)
-                for c in absent
-            ],
-            F.lit(0).alias("_none"),
-        )
-        return df.select(
+    def values(names: Sequence[str]) -> Column:
+        typed = [F.col(f"`{c}`").cast(types[c]).alias(c) for c in names if c in new.columns]
+        return F.struct(*typed, F.lit(0).alias("_none"))
+
+    # One row per key out of the batch first, so both sides of the join have
+    # unique keys and neither can be skewed.
+    ranks = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.lit(0).alias("_none"))
+    fresh = (
+        new.select(
             *[F.col(f"`{k}`").cast(types[k]).alias(k) for k in keys],
-            F.lit(int(is_new)).alias("_new"),
-            F.struct(*ranks).alias("_rank") if ranks else F.lit(0).alias("_rank"),
-            put.alias("_put"),
-            once.alias("_once"),
-            keep.alias("_keep"),
+            ranks.alias("_rank"),
+            values(given).alias("_put"),
+            values(insert_only).alias("_once"),
         )
-
-    fresh = shaped(new, True)
-    # One row per key out of the batch first, so that the big side joins in once.
-    last = F.max(F.struct("_rank", "_put")).alias("_last")
-    first = F.min(F.struct("_rank", "_once")).alias("_first")
-    fresh = fresh.groupBy(*keys).agg(last, first).select(
-        *[F.col(f"`{k}`") for k in keys],
-        F.lit(1).alias("_new"),
-        F.col("_last._put").alias("_put"),
-        F.col("_first._once").alias("_once"),
-        F.lit(None).alias("_keep"),
-    )
-    stored = shaped(old, False).drop("_rank")
-    side = F.col("_new")
-    merged = (
-        stored.unionByName(fresh)
         .groupBy(*keys)
         .agg(
-            F.min(side).alias("_lo"),
-            F.max(side).alias("_hi"),
-            F.max_by("_put", side).alias("_put"),
-            F.min_by("_put", side).alias("_was"),
-            F.min_by("_once", side).alias("_once"),
-            F.min_by("_keep", side).alias("_keep"),
+            F.max(F.struct("_rank", "_put")).alias("_last"),
+            F.min(F.struct("_rank", "_once")).alias("_first"),
+        )
+        .select(
+            *[F.col(f"`{k}`") for k in keys],
+            F.col("_last._put").alias("_put"),
+            F.col("_first._once").alias("_once"),
+            F.lit(True).alias("_new"),
         )
     )
+    merged = old.withColumn("_old", F.lit(True)).join(fresh, list(keys), "full_outer")
+    is_old, is_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    unchanged = F.lit(True)
+    for c in given:
+        unchanged = unchanged & F.col(f"`{c}`").eqNullSafe(F.col(f"_put.`{c}`"))
     change = (
-        F.when(F.col("_hi") == 0, "kept")
-        .when(F.col("_lo") == 1, "inserted")
-        .when(F.col("_put").eqNullSafe(F.col("_was")), "matched")
+        F.when(~is_new, "kept")
+        .when(~is_old, "inserted")
+        .when(unchanged, "matched")
         .otherwise("modified")
     )
-    out = []
-    for c in old.columns:
-        if c in keys:
-            out.append(F.col(f"`{c}`"))
-        elif c in insert_only:
-            out.append(F.col(f"_once.`{c}`").alias(c))
-        elif c in given:
-            out.append(F.col(f"_put.`{c}`").alias(c))
-        else:
-            out.append(F.col(f"_keep.`{c}`").alias(c))
-    return merged.select(*out, change.alias("_change"))
+
+    def result(c: str) -> Column:
+        before = F.col(f"`{c}`")
+        if c in given:
+            return F.when(is_new, F.col(f"_put.`{c}`")).otherwise(before).alias(c)
+        if c in insert_only and c in new.columns:
+            return F.when(is_old, before).otherwise(F.col(f"_once.`{c}`")).alias(c)
+        return before
+
+    return merged.select(*[result(c) for c in old.columns], change.alias("_change"))
