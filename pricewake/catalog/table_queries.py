@@ -265,6 +265,46 @@ FROM extracted JOIN (SELECT url AS post_url, scraped_at FROM posts) USING (post_
 """
 
 
+# Extractor replies: two batches for every sale post of a seller, one of them struck out.
+_REPLY_BATCHES = {
+    "url": "url",
+    "batch": "1",
+    "reply": "'[{\"frag_name\": \"' || author || '\", \"price_usd\": ' || "
+    "CAST(CAST(date AS INT) AS VARCHAR(20)) || '}]'",
+}
+_FIRST_BATCH = {
+    "url": "url",
+    "batch": "0",
+    "reply": "'So: [{\"brand\": \"Creed\", \"size_ml\": 50, \"raw_text\": \"~~x~~\", "
+    "\"status\": \"LISTED\"}, {\"brand\": null}]'",
+}
+
+
+def ingest_replies(spark, sf):
+    """Listings of the doc posts from replies, not from the rules."""
+    posts = I.doc_posts(spark, sf).withColumn("scraped_at", F.lit(I.NOW).cast("timestamp"))
+    batches = [
+        posts.selectExpr(*[f"{sql} AS {name}" for name, sql in fields.items()])
+        for fields in (_REPLY_BATCHES, _FIRST_BATCH)
+    ]
+    enriched = J.enrich_posts(
+        posts, cleaned_with="extractor", replies=batches[0].unionByName(batches[1])
+    )
+    return J.listing_rows(enriched).select(
+        "listing_key", "brand", "frag_name", "size_ml", "price_usd", "status", "cleaned_with"
+    )
+
+
+INGEST_REPLIES = f"""
+WITH {I.DOC_POSTS_SQL}
+SELECT url || '#' || n AS listing_key, CASE n WHEN 0 THEN 'Creed' END AS brand,
+  CASE n WHEN 2 THEN author END AS frag_name,
+  CASE n WHEN 0 THEN CAST(50 AS DOUBLE) END AS size_ml, CASE n WHEN 2 THEN date END AS price_usd,
+  CASE n WHEN 0 THEN 'SOLD' END AS status, 'extractor' AS cleaned_with
+FROM posts, (SELECT unnest([0, 1, 2]) AS n) WHERE contains(upper(title), '[WTS]')
+"""
+
+
 def _tables(spark):
     root = scratch_path(spark, "ingest")
     return J.Ingest(
@@ -334,6 +374,7 @@ QUERIES = {
     "newest_n": (newest_n, NEWEST_N),
     "ingest_posts": (ingest_posts, INGEST_POSTS),
     "ingest_listings": (ingest_listings, INGEST_LISTINGS),
+    "ingest_replies": (ingest_replies, INGEST_REPLIES),
     "ingest_summary": (ingest_summary, INGEST_SUMMARY),
     "ingest_stream": (ingest_stream, INGEST_STREAM),
 }

@@ -169,6 +169,42 @@ def reply_listings(replies: DataFrame, *keep: str, reply: str = "reply") -> Data
     )
 
 
+def reply_items(posts: DataFrame, replies: DataFrame, mode: str = "any") -> DataFrame:
+    """Posts with ``items`` taken from extractor replies (``url, reply`` and maybe ``batch``).
+
+    Several replies of one post follow each other by ``batch``; a bad reply
+    gives nothing. A source line that is struck out makes its item SOLD.
+    """
+    if "batch" not in replies.columns:
+        replies = replies.withColumn("batch", F.lit(0))
+    item = F.transform(
+        "items",
+        lambda i: F.struct(
+            i["raw_text"].alias("raw_text"),
+            i["brand"].alias("brand"),
+            i["frag_name"].alias("frag_name"),
+            F.coalesce(i["size_ml"], i["size"]).alias("size_ml"),
+            F.coalesce(i["price_usd"], i["price"]).alias("price_usd"),
+            i["fill_percent"].alias("fill_percent"),
+            F.when(X.is_struck(i["raw_text"]), F.lit("SOLD")).otherwise(i["status"]).alias("status"),
+        ),
+    )
+    # The batches of one post: as many as its text has chunks of lines.
+    found = (
+        parse_replies(replies, "url", "batch")
+        .filter(F.col("items").isNotNull())
+        .groupBy("url")
+        .agg(F.array_sort(F.collect_list(F.struct("batch", item.alias("items")))).alias("_replies"))
+        .select("url", F.flatten(F.col("_replies.items")).alias("_items"))
+    )
+    wanted = X.is_sale_post(F.col("title"), mode) & F.col("_items").isNotNull()
+    return (
+        posts.join(found, "url", "left")
+        .withColumn("items", F.when(wanted, F.col("_items")).otherwise(F.array().cast(ITEMS)))
+        .select(*posts.columns, "items")
+    )
+
+
 def rejected_replies(replies: DataFrame, *keep: str, reply: str = "reply") -> DataFrame:
     parsed = parse_replies(replies, *keep, reply=reply)
     return parsed.filter(F.col("items").isNull()).select(*keep, reply)

@@ -248,6 +248,35 @@ def test_replaced_posts_lose_stale_listings(spark, tmp_path):
     assert {r.listing_key for r in ingest.listings.read().collect()} == {"u1#0"}
 
 
+def test_ingest_from_replies(spark, tmp_path):
+    ingest = job(spark, tmp_path, cleaned_with="extractor")
+    ingest.events = None
+    replies = spark.createDataFrame(
+        [
+            ("u1", 1, '[{"frag_name": "B", "price_usd": 2}]'),
+            ("u1", 0, 'Here: [{"frag_name": "A", "raw_text": "~~A 5ml~~", "status": "LISTED"}]'),
+            ("u1", 2, "no idea"),
+            ("u3", 0, '[{"frag_name": "not for sale"}]'),
+        ],
+        "url string, batch int, reply string",
+    )
+    counts = ingest.run(posts(spark, FIRST), replies=replies)
+    assert (counts["posts_upserted"], counts["listings_upserted"]) == (3, 2)
+    rows = {r.listing_key: (r.frag_name, r.status, r.price_usd, r.cleaned_with)
+            for r in ingest.listings.read().collect()}
+    assert rows == {
+        "u1#0": ("A", "SOLD", None, "extractor"), "u1#1": ("B", None, 2.0, "extractor"),
+    }
+
+
+def test_ingest_without_cleaning(spark, tmp_path):
+    ingest = job(spark, tmp_path, clean=False)
+    ingest.events = None
+    counts = ingest.run(posts(spark, FIRST))
+    assert (counts["posts_upserted"], counts["listings_extracted"]) == (3, 0)
+    assert {r.cleaned_with for r in ingest.posts.read().collect()} == {None}
+
+
 def test_rearm(spark, tmp_path):
     ingest = with_alerts(spark, job(spark, tmp_path, rearm=True))
     ingest.run(posts(spark, FIRST))
