@@ -49,7 +49,8 @@ LISTING = {
     "brand": "' ' || p_brand",
     "frag_name": "p_name || CASE WHEN l_tax = 0.08 THEN ' Decant' ELSE ' (' || p_type || ')' END",
     "size": "CAST(p_size AS DOUBLE)",
-    "price": "l_extendedprice / l_quantity",
+    # The ratio keeps means away from the ties that two engines round differently.
+    "price": "l_extendedprice * 100000 / (l_quantity * 100003)",
     "fill_percent": "CASE WHEN l_linestatus = 'O' AND l_discount = 0 THEN NULL "
     "ELSE LEAST(2 * l_quantity, 100.0) END",
     "status": "CASE l_returnflag WHEN 'R' THEN 'SOLD' WHEN 'A' THEN 'available' ELSE '' END",
