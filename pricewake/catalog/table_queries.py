@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from pricewake import schemas
 from pricewake.catalog import inputs as I
+from pricewake.catalog import sqltext as S
+from pricewake.catalog.market_queries import CATALOGUE_INDEX_CHAIN, catalogue_index
 from pricewake.catalog.text_queries import extracted_sql
 from pricewake.operators.keyed import keep_first, merge_by_key
+from pricewake.plans import market
 from pricewake.session import scratch_path
 from pricewake.sources import files
 from pricewake.sources.tables import KeyedTable
@@ -361,6 +364,67 @@ FROM extracted JOIN (SELECT url AS post_url, scraped_at FROM posts) USING (post_
 """
 
 
+_FEW_ALERTS = {
+    "alert_id": "CAST(n_nationkey AS VARCHAR(20))",
+    "email": "n_name",
+    "type": "CASE WHEN n_regionkey < 2 THEN 'Rare' ELSE 'deal' END",
+    "target_name": "upper(p_name)",
+    "threshold": "CAST(n_regionkey AS DOUBLE) / 100",
+    "created_at": f"CAST('{I.EARLIER}' AS TIMESTAMP)",
+    "active": "n_nationkey <> 3",
+}
+
+
+def stream_alerts(spark, sf):
+    """The whole chain on a stream: ingest, match alerts against the index, queue events."""
+    root = scratch_path(spark, "chain")
+    for batch in _feed(spark, sf):
+        batch.repartition(2, "url").write.mode("append").json(f"{root}/landing")
+    job = _tables(spark)
+    job.alerts = J.alerts_table(spark, f"{root}/alerts", buckets=2)
+    job.index = market.index_table(spark, f"{root}/index", buckets=2)
+    job.events = J.events_table(spark, f"{root}/events", buckets=8)
+    nations = I.table(spark, sf, "nation").join(
+        I.table(spark, sf, "part"), F.expr("n_nationkey = p_partkey")
+    )
+    job.alerts.upsert(nations.selectExpr(*[f"{s} AS {n}" for n, s in _FEW_ALERTS.items()]))
+    market.publish(job.index, catalogue_index(spark, sf))
+    posts = J.read_landing(spark, f"{root}/landing", files_per_batch=2)
+    J.start(posts, job, f"{root}/checkpoint").awaitTermination()
+    return job.events.read().select(
+        "event_key", "alert_type", "target_name", "listing.price_usd", "matched_at",
+        "notified_at", "created_at",
+    )
+
+
+STREAM_ALERTS = f"""
+{CATALOGUE_INDEX_CHAIN}, {_FEED_SQL}, {extracted_sql("any")},
+published AS (
+  SELECT * FROM index_rows
+  QUALIFY row_number() OVER (PARTITION BY reddit_name ORDER BY brand DESC) = 1),
+few AS (
+  SELECT {", ".join(f"{s} AS {n}" for n, s in _FEW_ALERTS.items())}
+  FROM nation JOIN part ON n_nationkey = p_partkey),
+ready AS (
+  SELECT alert_id, upper(type) AS alert_type, target_name, threshold,
+    {S.search_text("target_name")} AS target
+  FROM few WHERE active),
+baseline AS (
+  SELECT target, weighted_avg_price AS a, weighted_std_dev AS d
+  FROM (SELECT DISTINCT target FROM ready)
+  JOIN published ON contains({S.search_text("reddit_name")}, target)
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY brand, reddit_name) = 1),
+hay AS (
+  SELECT listing_key, price_usd, {S.search_text("brand")} || ' ' || {S.search_text("frag_name")}
+    || ' ' || {S.search_text("raw_text")} || ' ' || {S.search_text("post_title")} AS hay
+  FROM extracted)
+SELECT alert_id || ':' || listing_key AS event_key, alert_type, target_name, price_usd,
+  CAST('{I.NOW}' AS TIMESTAMP) AS matched_at, CAST(NULL AS TIMESTAMP) AS notified_at,
+  CAST('{I.EARLIER}' AS TIMESTAMP) AS created_at
+FROM ready LEFT JOIN baseline USING (target) JOIN hay ON contains(hay, target)
+WHERE alert_type = 'RARE' OR price_usd <= a - threshold * d
+"""
+
 QUERIES = {
     "posts_csv": (posts_csv, POSTS_CSV),
     "retail_csv": (retail_csv, RETAIL_CSV),
@@ -377,4 +441,5 @@ QUERIES = {
     "ingest_replies": (ingest_replies, INGEST_REPLIES),
     "ingest_summary": (ingest_summary, INGEST_SUMMARY),
     "ingest_stream": (ingest_stream, INGEST_STREAM),
+    "stream_alerts": (stream_alerts, STREAM_ALERTS),
 }
