@@ -186,7 +186,9 @@ def reply_items(posts: DataFrame, replies: DataFrame, mode: str = "any") -> Data
             F.coalesce(i["size_ml"], i["size"]).alias("size_ml"),
             F.coalesce(i["price_usd"], i["price"]).alias("price_usd"),
             i["fill_percent"].alias("fill_percent"),
-            F.when(X.is_struck(i["raw_text"]), F.lit("SOLD")).otherwise(i["status"]).alias("status"),
+            F.when(X.is_struck(i["raw_text"]), F.lit("SOLD"))
+            .otherwise(i["status"])
+            .alias("status"),
         ),
     )
     # The batches of one post: as many as its text has chunks of lines.

@@ -110,6 +110,9 @@ def test_upsert(spark, tmp_path):
     }
     with pytest.raises(ValueError, match="nope"):
         table.upsert(batch.withColumn("nope", F.lit(1)))
+    with pytest.raises(ValueError, match="without a key"):
+        table.upsert(batch.withColumn("k", F.lit(None).cast("string")))
+    assert rows_of(table.read()) == expected
 
 
 def test_batch_order_does_not_matter(spark, tmp_path):
