@@ -39,11 +39,16 @@ def bag(rows, columns):
     return Counter(tuple(cell(row[i]) for i in order) for row in rows)
 
 
+# The queries of the library itself; those of optional folders have tests there.
+NAMES = sorted(name for module in entry_point._MODULES for name in module.QUERIES)
+
+
 def test_all_queries_have_a_twin():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(NAMES) <= set(entry_point.queries())
+    assert set(NAMES) <= set(entry_point.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, db, name):
     df = entry_point.queries()[name](spark, str(SF))
     twin = db.sql(entry_point.oracle_sql()[name])
