@@ -1,16 +1,13 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Vectors hold whole numbers. The index of a block of vectors keeps, for every dimension, the
-block's vectors ordered by value. Against a query weight w > 0 the impact of a value is
-w * (value - smallest value of the dimension), against w < 0 it is |w| * (largest value -
-value): impacts are never negative, and both orders are one list read from either end. A
-score is the sum of its impacts plus a constant of query and block.
-
-A query cuts its impacts into levels and processes the postings of all dimensions level by
-level, the highest first, adding into one accumulator per vector. What a vector has not
-met yet is at most the sum of the open dimensions' bounds, minus those of the dimensions it was
-met in. The search of a block stops only when that proves that all but a few vectors are
-below the k-th best accumulator; those few are scored exactly.
+Vectors hold whole numbers. The index of a block of vectors is a list of posting segments: the vectors
+whose value in one dimension has one quantised size (half powers of two), with those values. Segments are
+kept by falling size, so the first ones say most about the scores.
+
+Queries of a batch process the segments level by level into one accumulator per vector and query. What
+a vector's open postings can still add or take away is at most the norm of its open values times the norm of
+the query, and the index knows the former after every level. A search stops only when that proves that all
+but a few vectors are below the k-th best score; those few, the possible members, are scored exactly.
 
 Index blocks meet query blocks of bounded size, so no task and no broadcast grows with the input.
 """
@@ -27,84 +24,75 @@ from pyspark.sql import functions as F
 from pricewake.session import written
 
 K = 20
-LEVELS = 16
-# Above any score: 2^40, so that sums over 8,000 dimensions stay exact in a double.
-MET = float(1 << 40)
 BLOCK = 16_384
 QUERY_BLOCK = 512
-# Vectors that may be left for exact scoring when a block's search stops, per wanted result.
-LEFT = 8
+QUERY_BATCH = 64
+# A search stops when at most this share of a block (or ``LEFT`` times the wanted results) is left to score.
+SHARE_LEFT = 1 / 32
+LEFT = 4
 
 
 class Block:
     """The impact-ordered index of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        # Vectors and impact units of every dimension, by falling impact: for weights above and below 0.
-        falling = np.take_along_axis(vectors.T, order, axis=1).astype(np.float64)
-        ahead, back = order.astype(np.intp), np.ascontiguousarray(order[:, ::-1], np.intp)
-        up = falling - falling[:, -1:]
-        down = np.ascontiguousarray(falling[:, :1] - falling[:, ::-1])
-        self.lists, self.units = (back, ahead), (down, up)
+    def __init__(self, ids, docs, values, levels, dims, starts, width: int):
+        self.ids, self.docs, self.values = ids, docs, values
+        self.levels, self.dims, self.starts = levels, dims, np.append(starts, len(docs))
+        self.vectors = np.zeros((len(ids), width), np.int64)
+        self.vectors[docs, np.repeat(dims, np.diff(self.starts))] = values
+        squares = values.astype(np.float64) ** 2
+        rest = np.bincount(docs, squares, len(ids))
+        # Norm of each vector's open values after each level, a little up for rounding.
+        self.open = {}
+        for level, first, stop in self.by_level():
+            a, b = self.starts[first], self.starts[stop]
+            rest = rest - np.bincount(docs[a:b], squares[a:b], len(ids))
+            self.open[level] = np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9)
 
     @staticmethod
-    def ordered(vectors: np.ndarray) -> np.ndarray:
-        return np.argsort(-vectors.T, axis=1, kind="stable").astype(np.int32)
-
-    def levels(self, query: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Postings by falling impact: vectors, impacts, and each dimension's bound after the level."""
-        used = np.flatnonzero(query).tolist()
-        if not used:
-            return
-        weights = np.abs(query[used]).astype(np.float64)
-        lists = [self.lists[int(query[d] > 0)][d] for d in used]
-        units = [self.units[int(query[d] > 0)][d] for d in used]
-        n = len(self.ids)
-        # Quantiles of a few impacts of each dimension: levels of about as many postings each.
-        step = max(1, n // 64)
-        some = np.sort(np.concatenate([w * x[::step] for w, x in zip(weights, units, strict=True)]))
-        floors = some[(len(some) * np.arange(LEVELS - 1, -1, -1)) // LEVELS]
-        floors[-1] = 0
-        # Of each dimension the postings above each floor; impacts of zero add nothing.
-        until = np.array(
-            [n - np.searchsorted(x[::-1], floors / w, side="right") for w, x in zip(weights, units, strict=True)]
-        )
-        done = np.zeros(len(used), np.int64)
-        for level in range(LEVELS):
-            stop = np.maximum(until[:, level], done)
-            parts = [i for i in range(len(used)) if stop[i] > done[i]]
-            if parts:
-                yield (
-                    np.concatenate([lists[i][done[i] : stop[i]] for i in parts]),
-                    np.concatenate([weights[i] * units[i][done[i] : stop[i]] for i in parts]),
-                    np.array([w * x[a] if a < n else 0.0 for w, x, a in zip(weights, units, stop, strict=True)]),
-                )
-            done = stop
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of at least the block's k best for the query, its own row left out."""
-        n = len(self.ids)
-        met_and_found = np.zeros(n)
-        # The own row may score highest and is not wanted: one more place.
-        place, left = k + 1, np.arange(n)
-        if n > place * LEFT:
-            for vectors, impacts, bounds in self.levels(query):
-                # One sum holds how many dimensions met a vector, above MET, and its impacts, below.
-                met_and_found += np.bincount(vectors, impacts + MET, n)
-                met = np.floor(met_and_found / MET)
-                found = met_and_found - met * MET
-                rest = np.minimum(bounds.sum(), bounds.max() * (np.count_nonzero(query) - met))
-                kth = np.partition(found, n - place)[n - place]
-                left = np.flatnonzero(found + rest >= kth)
-                if len(left) <= place * LEFT:
+    def segments(vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Postings and segments of a matrix: docs, values; levels, dims, starts."""
+        docs, dims = np.nonzero(vectors)
+        values = vectors[docs, dims]
+        levels = np.floor(2 * np.log2(np.abs(values))).astype(np.int32)
+        order = np.lexsort((docs, dims, -levels))
+        docs, dims, values, levels = docs[order], dims[order], values[order], levels[order]
+        new = np.ones(len(docs), bool)
+        new[1:] = (np.diff(levels) != 0) | (np.diff(dims) != 0)
+        starts = np.flatnonzero(new)
+        return docs.astype(np.int32), values, levels[starts], dims[starts].astype(np.int32), starts
+
+    def by_level(self) -> Iterator[tuple[int, int, int]]:
+        """(level, first segment, end segment) by falling level."""
+        edges = [0, *(np.flatnonzero(np.diff(self.levels)) + 1).tolist(), len(self.levels)]
+        for first, stop in zip(edges, edges[1:], strict=False):
+            if stop > first:
+                yield int(self.levels[first]), first, stop
+
+    def search(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and exact scores of the vectors that can be among its ``k`` best."""
+        n, batch = len(self.ids), len(queries)
+        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
+        largest = norms.max(initial=0) * np.sqrt((self.vectors.astype(np.float64) ** 2).sum(1)).max(initial=0)
+        # Whole numbers below 2^24 are exact in single precision.
+        kind = np.float32 if largest < 1 << 23 else np.float64
+        found = np.zeros((n, batch), kind)
+        weights, values = queries.T.astype(kind), self.values.astype(kind)
+        possible = None
+        enough = max(k * LEFT, int(n * SHARE_LEFT))
+        for level, first, stop in self.by_level() if n > enough else ():
+            for segment in range(first, stop):
+                a, b = self.starts[segment], self.starts[segment + 1]
+                found[self.docs[a:b]] += values[a:b, None] * weights[self.dims[segment]]
+            if 2 * self.starts[stop] >= len(self.docs):
+                rest = self.open[level][:, None] * norms
+                kth = np.partition(found - rest, n - k, axis=0)[n - k]
+                possible = found + rest >= kth
+                if possible.sum() <= enough * batch:
                     break
-        scores = self.vectors[left] @ query
-        ids = self.ids[left]
-        keep = ids != own
-        ids, scores = ids[keep], scores[keep]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+        for i, query in enumerate(queries):
+            left = np.arange(n) if possible is None else np.flatnonzero(possible[:, i])
+            yield left, self.vectors[left] @ query
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -132,21 +120,33 @@ def build_index(vectors: DataFrame, blocks: int) -> DataFrame:
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        matrix = _matrix(rows.vector, width)
-        return pd.DataFrame(
-            {
-                "block": [int(rows.block.iloc[0])],
-                "ids": [rows.id.to_numpy(np.int64).tobytes()],
-                "kind": [np.result_type(*map(np.min_scalar_type, (matrix.min(initial=0), matrix.max(initial=0)))).str],
-                "values": [b""],
-                "order": [Block.ordered(matrix).tobytes()],
-            }
-        ).assign(values=lambda row: [matrix.astype(row.kind[0]).tobytes()])
-
-    schema = "block int, ids binary, kind string, values binary, order binary"
+        docs, values, levels, dims, starts = Block.segments(_matrix(rows.vector, width))
+        parts = {
+            "ids": rows.id.to_numpy(np.int64),
+            "docs": docs,
+            "values": values,
+            "levels": levels,
+            "dims": dims,
+            "starts": starts.astype(np.int64),
+        }
+        least = np.result_type(*map(np.min_scalar_type, (values.min(initial=0), values.max(initial=0))))
+        parts["values"] = values.astype(least)
+        stored = {name: [part.tobytes()] for name, part in parts.items()}
+        return pd.DataFrame({"block": [int(rows.block.iloc[0])], "width": [width], "kind": [least.str], **stored})
+
+    schema = (
+        "block int, width int, kind string, ids binary, docs binary, values binary, "
+        "levels binary, dims binary, starts binary"
+    )
     return written(placed.groupBy("block").applyInPandas(build, schema), "impact-index")
 
 
+def _stored(row: pd.Series) -> Block:
+    kinds = {"ids": np.int64, "docs": np.int32, "values": row["kind"], "levels": np.int32, "dims": np.int32, "starts": np.int64}
+    parts = {name: np.frombuffer(row[name], kind) for name, kind in kinds.items()}
+    return Block(**parts, width=int(row["width"]))
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -159,8 +159,7 @@ def top_k(
     Both inputs are (id long, vector array<long>) as ``quantised`` gives them. A query's own id
     is no candidate; ties go to the smaller id; fewer candidates give fewer rows. Of rows with
     one id the smallest vector counts. Missing trailing components are zero. Empty
-    inputs give no rows. Scores are exact while products sum
-    up to less than 2^40 in up to 8,000 dimensions. The
+    inputs give no rows. Scores are exact below 2^53. The
     index is written below ``spark.checkpoint.dir``; a task holds one block of it.
     """
     once = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
@@ -178,21 +177,23 @@ def top_k(
     def search(stored: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(stored) and len(wanted):
-            ids = np.frombuffer(stored.ids.iloc[0], np.int64)
-            matrix = np.frombuffer(stored["values"].iloc[0], stored.kind.iloc[0])
-            matrix = matrix.astype(np.int64).reshape(len(ids), -1)
-            order = np.frombuffer(stored["order"].iloc[0], np.int32).reshape(-1, len(ids))
-            width = max(matrix.shape[1], *map(len, wanted.vector))
-            here = Block(ids, matrix, order) if matrix.shape[1] else None
-            for own, query in zip(wanted.id, _matrix(wanted.vector, width), strict=True):
-                if here is None:
-                    found = ids[ids != own][:k]
-                    scores = np.zeros(len(found), np.int64)
-                else:
-                    found, scores = here.search(query[: matrix.shape[1]], own, k)
-                rows += [(own, i, s) for i, s in zip(found.tolist(), scores.tolist(), strict=True)]
+            here = _stored(stored.iloc[0])
+            width = here.vectors.shape[1]
+            asked = _matrix(wanted.vector, max([width, *map(len, wanted.vector)]))[:, :width]
+            for start in range(0, len(asked), QUERY_BATCH):
+                owns = wanted.id.to_numpy(np.int64)[start : start + QUERY_BATCH]
+                # One more, as the query's own row may be among the best and is not wanted.
+                best = here.search(asked[start : start + QUERY_BATCH], k + 1)
+                for own, (places, scores) in zip(owns.tolist(), best, strict=True):
+                    ids = here.ids[places]
+                    scores, ids = scores[ids != own], ids[ids != own]
+                    order = np.lexsort((ids, -scores))[:k]
+                    rows += [(own, i, s) for i, s in zip(ids[order].tolist(), scores[order].tolist(), strict=True)]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
 
+    # A cell is much work on few bytes: a partition for each, which size-based merging leaves alone.
+    cells = cells.repartition(blocks * parts, "block", "part")
+    asked = asked.repartition(blocks * parts, "block", "part")
     found = (
         cells.groupBy("block", "part")
         .cogroup(asked.groupBy("block", "part"))

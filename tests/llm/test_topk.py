@@ -29,15 +29,16 @@ def test_search_stops_early_and_stays_exact():
     rng = np.random.default_rng(1)
     vectors = np.floor(rng.pareto(1.2, size=(6000, 16))).clip(0, 500).astype(np.int64)
     ids = np.arange(6000)
-    block = topk.Block(ids, vectors, topk.Block.ordered(vectors))
-    steps = []
-    whole = block.levels
-    block.levels = lambda q: (steps.append(1) or x for x in whole(q))
-    query = np.floor(rng.pareto(1.5, size=16)).astype(np.int64) + 1
-    found, scores = block.search(query, 17, 5)
-    exact = sorted((-int(v @ query), i) for i, v in zip(ids.tolist(), vectors) if i != 17)[:5]
-    assert [(-s, i) for i, s in zip(found.tolist(), scores.tolist())] == exact
-    assert len(steps) < sum(1 for _ in whole(query))
+    block = topk.Block(ids, *topk.Block.segments(vectors), width=16)
+    assert list(block.levels) == sorted(block.levels, reverse=True)
+    queries = np.floor(rng.pareto(1.5, size=(9, 16))).astype(np.int64) * rng.choice([-1, 1], (9, 16))
+    queries[0] = 0
+    short = 0
+    for query, (places, scores) in zip(queries, block.search(queries, 5)):
+        exact = sorted((-int(v @ query), i) for i, v in enumerate(vectors))[:5]
+        assert sorted(zip((-scores).tolist(), places.tolist()))[:5] == exact
+        short += len(places) < 6000
+    assert short
 
 
 def test_awkward_vectors(spark):
