@@ -356,9 +356,11 @@ MARKET_INDEX = f"{MARKET_INDEX_CHAIN} SELECT {_ROUND_INDEX} FROM index_rows"
 def catalogue_index(spark, sf):
     """Index rows for every catalogue item by its own name, without similarity."""
     parts = I.table(spark, sf, "part")
+    # Some names stand in the catalogue only: no listing, no market price.
+    name = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, " extrait").otherwise(""))
     items = parts.select(
         F.upper("p_brand").alias("brand"),
-        market_name(F.col("p_name")).alias("reddit_name"),
+        market_name(name).alias("reddit_name"),
         F.upper(F.concat_ws(" ", "p_name", "p_type")).alias("jomashop_name"),
         F.col("p_retailprice").alias("jomashop_price"),
         F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey")).alias("jomashop_url"),
@@ -366,17 +368,13 @@ def catalogue_index(spark, sf):
         "p_partkey",
     )
     matched = first_by(items, ["brand", "reddit_name"], F.col("p_partkey")).drop("p_partkey")
-    # A third of the items have no market price.
-    known = I.listings(spark, sf).filter(~F.startswith(F.trim("frag_name"), F.lit("s")))
-    return market.weighted_index(matched, stats.weighted_stats(known))
+    return market.weighted_index(matched, stats.weighted_stats(I.listings(spark, sf)))
 
 
 CATALOGUE_INDEX_CHAIN = f"""
-WITH {I.LISTINGS_SQL.replace("listings AS", "all_listings AS")},
-listings AS (SELECT * FROM all_listings WHERE NOT starts_with(trim(frag_name), 's')),
-{WEIGHTED_ROWS_SQL}, {WEIGHTED_STATS_SQL},
+WITH {I.LISTINGS_SQL}, {WEIGHTED_ROWS_SQL}, {WEIGHTED_STATS_SQL},
 matched AS (
-  SELECT upper(p_brand) AS brand, {S.market_name("p_name")} AS reddit_name,
+  SELECT upper(p_brand) AS brand, {S.market_name("p_name || CASE WHEN p_size % 3 = 0 THEN ' extrait' ELSE '' END")} AS reddit_name,
     upper(p_name || ' ' || p_type) AS jomashop_name, p_retailprice AS jomashop_price,
     'https://shop.example/p/' || p_partkey AS jomashop_url, CAST(1 AS DOUBLE) AS match_score
   FROM part

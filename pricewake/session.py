@@ -15,9 +15,6 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Plan size below which an input may be dealt out again: a shuffle of seconds.
-SMALL_INPUT = 1 << 30
-
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -59,18 +56,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, below: int = SMALL_INPUT) -> DataFrame:
-    """Deal a small input out to all cores before costly work on its rows.
-
-    A file with one row group is one task however many cores there are. Large
-    inputs have splits enough and are left as they are.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= below:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several steps read, and read it back.
 
