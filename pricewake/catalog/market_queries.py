@@ -330,9 +330,13 @@ def _market_index(spark, sf):
     return market.market_index(I.listings(spark, sf), I.retail(spark, sf))
 
 
+def rounded_index(index):
+    return _rounded(index, *_INDEX_NUMBERS)
+
+
 def market_index(spark, sf):
     """The flagship: clean, match, weigh, join."""
-    return _rounded(_market_index(spark, sf), *_INDEX_NUMBERS)
+    return rounded_index(_market_index(spark, sf))
 
 
 _INDEX_SQL = """

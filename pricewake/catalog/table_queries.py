@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from pricewake import schemas
 from pricewake.catalog import inputs as I
 from pricewake.catalog import sqltext as S
-from pricewake.catalog.market_queries import CATALOGUE_INDEX_CHAIN, catalogue_index
+from pricewake.catalog.market_queries import (
+    CATALOGUE_INDEX_CHAIN,
+    MARKET_INDEX,
+    catalogue_index,
+    rounded_index,
+)
 from pricewake.catalog.text_queries import extracted_sql
 from pricewake.operators.keyed import keep_first, merge_by_key
 from pricewake.plans import market
@@ -42,6 +47,30 @@ WITH {I.RETAIL_SQL}
 SELECT brand, product, nullif(size, '') AS size, discount_price, retail_price, url FROM retail
 """
 
+
+
+def files_to_index(spark, sf):
+    """Catalogue and listing files as they lie there, to the market index.
+
+    The catalogue stands in two files of different column order, and it holds each part a second
+    time, so that the best score is always reached twice: the earlier row of the files wins.
+    """
+    shop, posts = scratch_path(spark, "shop"), scratch_path(spark, "posts")
+    rows = I.retail(spark, sf).coalesce(1).sortWithinPartitions("ord")
+    names = schemas.RETAIL.names
+    # Files are read in the order of their paths.
+    files.write_csv(rows.withColumn("retail_price", F.lit("first")), f"{shop}/1", names)
+    files.write_csv(rows.withColumn("url", F.lit("again")), f"{shop}/2", names[::-1])
+    files.write_csv(I.listings(spark, sf), posts, [*schemas.LISTINGS_BATCH.names])
+    catalogue = files.read_retail_csv(spark, f"{shop}/*", ordered=True)
+    listed = schemas.to_batch_names(files.read_listings_csv(spark, posts))
+    index = market.market_index(listed, catalogue)
+    return rounded_index(index)
+
+
+FILES_TO_INDEX = MARKET_INDEX
+
+
 _BATCH = schemas.LISTINGS_BATCH.names
 
 
@@ -87,15 +116,15 @@ FROM events
 
 
 def table_probe(spark, sf):
-    probed = files.probe(I.table(spark, sf, "customer").select("c_custkey", "c_name"))
-    return probed.select(
-        "row_count", F.get_json_object("sample", "$.c_name").alias("sample_name")
-    )
+    """The count, and whether the sample is a row of the table."""
+    customers = I.table(spark, sf, "customer").select("c_custkey", "c_name")
+    probed = files.probe(customers)
+    name = F.get_json_object("sample", "$.c_name").alias("c_name")
+    found = probed.select("row_count", name).join(customers.select("c_name").distinct(), "c_name", "left_semi")
+    return found.select("row_count", F.lit(True).alias("sample_is_a_row"))
 
 
-TABLE_PROBE = """
-SELECT count(*) AS row_count, min_by(c_name, c_custkey) AS sample_name FROM customer
-"""
+TABLE_PROBE = "SELECT count(*) AS row_count, true AS sample_is_a_row FROM customer"
 
 # ---- keyed rows --------------------------------------------------------------------
 
@@ -344,10 +373,10 @@ SELECT 1, (SELECT count(*) FROM posts), 0, (SELECT count(*) FROM posts WHERE fla
 """
 
 
-def ingest_stream(spark, sf):
+def _streamed(spark, sf, feed):
     """The listing table after a stream over landed files, several batches of them."""
     root = scratch_path(spark, "stream")
-    for batch in _feed(spark, sf):
+    for batch in feed:
         batch.repartition(2, "url").write.mode("append").json(f"{root}/landing")
     job = _tables(spark)
     posts = J.read_landing(spark, f"{root}/landing", files_per_batch=2)
@@ -356,6 +385,15 @@ def ingest_stream(spark, sf):
     return job.listings.read().drop("post_title", "raw_text")
 
 
+def ingest_stream(spark, sf):
+    return _streamed(spark, sf, _feed(spark, sf))
+
+
+def ingest_reversed(spark, sf):
+    """The newer versions land first: the older ones replace nothing."""
+    return _streamed(spark, sf, reversed(_feed(spark, sf)))
+
+
 INGEST_STREAM = f"""
 WITH {_FEED_SQL}, {extracted_sql("any")}
 SELECT {_LISTING_COLUMNS}, scraped_at, 'rules' AS cleaned_with,
@@ -441,5 +479,7 @@ QUERIES = {
     "ingest_replies": (ingest_replies, INGEST_REPLIES),
     "ingest_summary": (ingest_summary, INGEST_SUMMARY),
     "ingest_stream": (ingest_stream, INGEST_STREAM),
+    "ingest_reversed": (ingest_reversed, INGEST_STREAM),
+    "files_to_index": (files_to_index, FILES_TO_INDEX),
     "stream_alerts": (stream_alerts, STREAM_ALERTS),
 }

@@ -49,6 +49,7 @@ def merge_by_key(
     keys: Sequence[str],
     insert_only: Sequence[str] = (),
     order: Sequence[Column] = (),
+    version: str | None = None,
 ) -> DataFrame:
     """Upsert ``new`` into ``old`` and say what happened to each row.
 
@@ -58,6 +59,11 @@ def merge_by_key(
     * Several new rows with one key: the last in ``order`` wins, while the
       insert-only columns come from the first.
 
+    * With a ``version`` column an older version never replaces a newer one,
+      neither inside the batch nor in ``old`` (the row counts as ``kept``), and
+      insert-only values are the least that any version had, so that the result
+      does not depend on the order in which batches come.
+
     ``old`` has one row per key, and no key is null. Adds ``_change``:
     ``kept``, ``inserted``, ``modified`` or ``matched`` (written again with
     equal values).
@@ -74,6 +80,8 @@ def merge_by_key(
 
     # One row per key out of the batch first, so both sides of the join have
     # unique keys and neither can be skewed.
+    if version:
+        order = [F.col(f"`{version}`"), *order]
     ranks = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.lit(0).alias("_none"))
     fresh = (
         new.select(
@@ -96,6 +104,10 @@ def merge_by_key(
     )
     merged = old.withColumn("_old", F.lit(True)).join(fresh, list(keys), "full_outer")
     is_old, is_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    came = is_new
+    if version:
+        older = is_old & (F.col(f"`{version}`") > F.col(f"_put.`{version}`"))
+        is_new = is_new & ~F.coalesce(older, F.lit(False))
     unchanged = F.lit(True)
     for c in given:
         unchanged = unchanged & F.col(f"`{c}`").eqNullSafe(F.col(f"_put.`{c}`"))
@@ -110,6 +122,8 @@ def merge_by_key(
         before = F.col(f"`{c}`")
         if c in given:
             return F.when(is_new, F.col(f"_put.`{c}`")).otherwise(before).alias(c)
+        if c in insert_only and c in new.columns and version:
+            return F.when(came, F.least(before, F.col(f"_once.`{c}`"))).otherwise(before).alias(c)
         if c in insert_only and c in new.columns:
             return F.when(is_old, before).otherwise(F.col(f"_once.`{c}`")).alias(c)
         return before

@@ -30,7 +30,8 @@ VOID_TAGS = [
 ]
 # --- end of fixed values ---
 
-_HREF = r"""(?is)\bhref\s*=\s*["']([^"']*)["']"""
+# After a blank or a quote, so that data-href is another attribute; quoted or bare.
+_HREF = r"""(?is)[\s"']href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def _classed(tag: str, name: str) -> str:
@@ -44,7 +45,11 @@ def _item_pattern(item_class: str | None) -> str:
 
 
 def _href(tag: Column) -> Column:
-    return F.nullif(F.regexp_extract(tag, _HREF, 1), F.lit(""))
+    # Only one of the three groups is ever filled.
+    link = F.concat(*[F.regexp_extract(tag, _HREF, n) for n in (1, 2, 3)])
+    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        link = F.replace(link, F.lit(entity), F.lit(char))
+    return F.nullif(F.trim(link), F.lit(""))
 
 
 def product_links(

@@ -23,8 +23,13 @@ CHANNEL = "fragranceswap"
 
 REPLY_SCHEMA = (
     "array<struct<author: string, flair: string, brand: string, frag_name: string, "
-    "size_ml: double, price_usd: double, fill_percent: double, status: string, "
-    "raw_text: string, size: double, price: double>>"
+    "size_ml: string, price_usd: string, fill_percent: string, status: string, "
+    "raw_text: string, size: string, price: string>>"
+)
+NUMBERS = ("size_ml", "price_usd", "fill_percent", "size", "price")
+ITEM_FIELDS = (
+    "author", "flair", "brand", "frag_name", "size_ml", "price_usd", "fill_percent", "status",
+    "raw_text", "size", "price",
 )
 
 ITEMS = (
@@ -131,28 +136,72 @@ def extraction_requests(batches: DataFrame, aliases=ALIASES, brands=BRANDS) -> D
     return batches.withColumn("request", request)
 
 
-def parse_replies(replies: DataFrame, *keep: str, reply: str = "reply") -> DataFrame:
+def reply_number(value: Column) -> Column:
+    """A number as a reply may write it: bare, quoted, with a dollar sign or commas."""
+    return X.number(F.regexp_replace(X.strip(value), r"^\$\s*|,(?=[0-9]{3})", ""))
+
+
+def _raw_items(reply: Column, single: bool) -> Column:
+    """The items of a reply with numbers as text; null for a bad reply."""
+    whole = X.strip(reply)
+    inner = F.regexp_extract(whole, r"(?s)(\[.*\]|\{.*\})", 1)
+    doc = X.strip(F.when(F.try_parse_json(whole).isNotNull(), whole).otherwise(inner))
+    array = doc
+    if single:
+        array = F.when(F.startswith(doc, F.lit("{")), F.concat(F.lit("["), doc, F.lit("]"))).otherwise(doc)
+    usable = F.startswith(array, F.lit("[")) & F.try_parse_json(doc).isNotNull()
+    return F.when(usable, F.from_json(array, REPLY_SCHEMA))
+
+
+def parse_replies(
+    replies: DataFrame, *keep: str, reply: str = "reply", single: bool = False
+) -> DataFrame:
     """Read the JSON array in each reply; adds ``items``, null for a bad reply.
 
     A reply that is not JSON as a whole may still hold an array inside other
-    words; the widest bracketed part is tried then.
+    words; the widest bracketed part is tried then. ``single`` also takes one
+    bare object, the answer to a request of one fragment. Numbers may be quoted.
     """
-    whole = X.strip(F.col(reply))
-    inner = F.regexp_extract(whole, r"(?s)(\[.*\]|\{.*\})", 1)
-    doc = X.strip(F.when(F.try_parse_json(whole).isNotNull(), whole).otherwise(inner))
-    usable = doc.startswith("[") & F.try_parse_json(doc).isNotNull()
-    parsed = F.when(usable, F.from_json(doc, REPLY_SCHEMA))
+    typed = F.transform(
+        "_items",
+        lambda i: F.struct(
+            *[
+                (reply_number(i[c]) if c in NUMBERS else i[c]).alias(c)
+                for c in ITEM_FIELDS
+            ]
+        ),
+    )
     # An element that is no object spoils the array.
-    return replies.select(*keep, reply, parsed.alias("_items")).select(
+    return replies.select(*keep, reply, _raw_items(F.col(reply), single).alias("_items")).select(
         *keep,
         reply,
-        F.when(~F.exists("_items", lambda x: x.isNull()), F.col("_items")).alias("items"),
+        F.when(~F.exists("_items", lambda x: x.isNull()), typed).alias("items"),
     )
 
 
-def reply_listings(replies: DataFrame, *keep: str, reply: str = "reply") -> DataFrame:
+def rejected_values(
+    replies: DataFrame, *keep: str, reply: str = "reply", single: bool = False
+) -> DataFrame:
+    """Values of good replies that should be numbers and are not: ``item_no, field, value``.
+
+    Their fields are null in the listings.
+    """
+    raw = replies.select(*keep, _raw_items(F.col(reply), single).alias("_items"))
+    item = F.col("_item")
+    values = [F.struct(F.lit(c).alias("field"), item[c].alias("value")) for c in NUMBERS]
+    return (
+        raw.filter(~F.exists("_items", lambda x: x.isNull()))
+        .select(*keep, F.posexplode("_items").alias("item_no", "_item"))
+        .select(*keep, "item_no", F.inline(F.array(*values)))
+        .filter(F.col("value").isNotNull() & reply_number(F.col("value")).isNull())
+    )
+
+
+def reply_listings(
+    replies: DataFrame, *keep: str, reply: str = "reply", single: bool = False
+) -> DataFrame:
     """One row per extracted item, numbered from 0 inside its reply."""
-    parsed = parse_replies(replies, *keep, reply=reply)
+    parsed = parse_replies(replies, *keep, reply=reply, single=single)
     item = F.col("item")
     # Outer, then filtered: a plain explode of a column makes the optimizer test
     # its size in a filter below, where the column is worked out a second time.
@@ -169,11 +218,13 @@ def reply_listings(replies: DataFrame, *keep: str, reply: str = "reply") -> Data
     )
 
 
-def reply_items(posts: DataFrame, replies: DataFrame, mode: str = "any") -> DataFrame:
+def reply_items(
+    posts: DataFrame, replies: DataFrame, mode: str = "any", single: bool = False
+) -> DataFrame:
     """Posts with ``items`` taken from extractor replies (``url, reply`` and maybe ``batch``).
 
     Several replies of one post follow each other by ``batch``; a bad reply
-    gives nothing. A source line that is struck out makes its item SOLD.
+    gives nothing, and of several good ones to one request one counts. A source line that is struck out makes its item SOLD.
     """
     if "batch" not in replies.columns:
         replies = replies.withColumn("batch", F.lit(0))
@@ -193,8 +244,10 @@ def reply_items(posts: DataFrame, replies: DataFrame, mode: str = "any") -> Data
     )
     # The batches of one post: as many as its text has chunks of lines.
     found = (
-        parse_replies(replies, "url", "batch")
+        parse_replies(replies, "url", "batch", single=single)
         .filter(F.col("items").isNotNull())
+        .groupBy("url", "batch")
+        .agg(F.min("items").alias("items"))
         .groupBy("url")
         .agg(F.array_sort(F.collect_list(F.struct("batch", item.alias("items")))).alias("_replies"))
         .select("url", F.flatten(F.col("_replies.items")).alias("_items"))
@@ -207,8 +260,10 @@ def reply_items(posts: DataFrame, replies: DataFrame, mode: str = "any") -> Data
     )
 
 
-def rejected_replies(replies: DataFrame, *keep: str, reply: str = "reply") -> DataFrame:
-    parsed = parse_replies(replies, *keep, reply=reply)
+def rejected_replies(
+    replies: DataFrame, *keep: str, reply: str = "reply", single: bool = False
+) -> DataFrame:
+    parsed = parse_replies(replies, *keep, reply=reply, single=single)
     return parsed.filter(F.col("items").isNull()).select(*keep, reply)
 
 

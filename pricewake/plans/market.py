@@ -36,7 +36,10 @@ def weighted_index(matched: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def market_index(listings: DataFrame, retail: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The whole chain in one plan: clean, match, weigh, join."""
+    """The whole chain: clean, match, weigh, join.
+
+    The match writes its steps, so jobs run before the first action on the result.
+    """
     return weighted_index(retail_match(listings, retail, min_score), weighted_stats(listings))
 
 

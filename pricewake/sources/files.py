@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewake import schemas
-from pricewake.functions.text import nan_to_null
+from pricewake.functions.text import nan_to_null, number
 
 
 def _csv(spark: SparkSession):
@@ -15,39 +17,73 @@ def _csv(spark: SparkSession):
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file or folder; reads the header, infers no types."""
-    return _csv(spark).option("inferSchema", False).csv(path).columns
+def _typed(name: str, kind: T.DataType) -> Column:
+    """A text column as the declared type; what is no plain number is null."""
+    value = F.col(f"`{name}`")
+    return number(value).cast(kind) if isinstance(kind, T.NumericType) else value.try_cast(kind)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, required=()) -> DataFrame:
-    """A CSV whose columns are taken by name, whatever their order in the file.
+def _header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """The files below a path by their header line: (column names, file paths).
 
-    Columns of ``schema`` that the file lacks come back as null, but a missing
-    ``required`` one is an error. Numbers are cast leniently: a bad one is null.
+    Reads the first line of each file only; a folder as a rule has one header.
     """
-    header = csv_header(spark, path)
-    missing = [name for name in required if name not in header]
-    if missing:
-        raise ValueError(f"{path} has no column {', '.join(missing)}")
-    as_text = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    raw = _csv(spark).schema(as_text).csv(path)
-    return raw.select(
-        *[
-            (F.col(f"`{f.name}`") if f.name in header else F.lit(None))
-            .try_cast(f.dataType)
-            .alias(f.name)
-            for f in schema
-        ]
+    first = (
+        spark.read.text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+        .filter(F.col("at") == 0)
+        .groupBy("file")
+        .agg(F.first("value").alias("header"))
     )
+    by_header = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [
+        (next(csv.reader([row["header"].lstrip("\ufeff")]), []), row["files"])
+        for row in sorted(by_header.collect(), key=lambda r: r["files"])
+    ]
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, required=(), ordered: bool = False
+) -> DataFrame:
+    """CSV files whose columns are taken by name, whatever their order in each file.
+
+    Columns of ``schema`` that a file lacks come back as null, but a missing
+    ``required`` one is an error. Numbers are plain decimals; anything else is null.
+    ``ordered`` adds ``ord``, as ``in_file_order`` does.
+    """
+    parts = []
+    for header, names in _header_groups(spark, path):
+        missing = [name for name in required if name not in header]
+        if missing:
+            raise ValueError(f"{names[0]} has no column {', '.join(missing)}")
+        as_text = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        raw = _csv(spark).schema(as_text).csv(names)
+        order = ["ord"] if ordered else []
+        raw = in_file_order(raw) if ordered else raw
+        parts.append(
+            raw.select(
+                *[
+                    (_typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
+                    for f in schema
+                ],
+                *order,
+            )
+        )
+    if not parts:
+        fields = [*schema.fields, *([T.StructField("ord", T.StringType())] if ordered else [])]
+        return spark.createDataFrame([], T.StructType(fields))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    return whole
 
 
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.POSTS_RAW, required=("title", "body"))
 
 
-def read_retail_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.RETAIL, required=("brand", "product"))
+def read_retail_csv(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    return read_csv(spark, path, schemas.RETAIL, ("brand", "product"), ordered)
 
 
 def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -65,15 +101,13 @@ def read_listings_json(spark: SparkSession, path: str, as_array: bool = True) ->
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
-    """Add ``ord``: the position of a row by file, split and line, for "first" rules."""
-    return df.select(
-        "*",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("ord"),
-    )
+    """Add ``ord``, a text that sorts rows by file, split and line, for "first" rules.
+
+    For frames straight from files; a union no longer knows where its rows came from.
+    """
+    row = F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")
+    start = F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0")
+    return df.select("*", F.concat_ws("|", F.col("_metadata.file_path"), start, row).alias("ord"))
 
 
 def write_csv(df: DataFrame, path: str, columns=None, mode: str = "overwrite") -> None:
@@ -109,9 +143,9 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 
 def probe(df: DataFrame) -> DataFrame:
-    """One row: how many rows there are, and the least one as JSON."""
+    """One row: how many rows there are, and any one of them as JSON."""
     fields = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.to_json(F.min(fields), {"ignoreNullFields": "false"}).alias("sample"),
-    )
+    # Only one row of all columns is read; the count needs none of them.
+    sample = df.limit(1).agg(F.first(F.to_json(fields, {"ignoreNullFields": "false"})).alias("sample"))
+    count = df.agg(F.count(F.lit(1)).alias("row_count"))
+    return count.join(F.broadcast(sample), F.lit(True))

@@ -1,0 +1,103 @@
+"""Files by header, number guard, ties, versions across commits, replies, links."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pricewake import schemas
+from pricewake.operators import pages
+from pricewake.operators import posts as PO
+from pricewake.operators.keyed import merge_by_key
+from pricewake.operators.similarity import best_matches
+from pricewake.plans import market
+from pricewake.sources import files
+
+
+def test_csv_by_header_with_guarded_numbers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('brand,frag_name,size,price\nCreed,"Avent\nus",50,12d\nDior,Sauvage,nan,1e2f\n')
+    (tmp_path / "b.csv").write_text("price,size,frag_name,brand,other\n99.5,Infinity,Oud,Armaf,x\n 1e2 ,7,Rose,Armaf,y\n")
+    rows = {r.frag_name: r for r in files.read_listings_csv(spark, str(tmp_path)).collect()}
+    assert [rows["Avent\nus"][c] for c in ("brand", "size", "price")] == ["Creed", 50.0, None]
+    assert [rows["Sauvage"][c] for c in ("brand", "size", "price")] == ["Dior", None, None]
+    assert [rows["Oud"][c] for c in ("brand", "size", "price")] == ["Armaf", None, 99.5]
+    assert rows["Rose"].price == 100.0
+    with pytest.raises(ValueError, match="no column brand"):
+        (tmp_path / "c.csv").write_text("product\nx\n")
+        files.read_retail_csv(spark, str(tmp_path / "c.csv"))
+
+
+def test_files_with_tied_scores(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("brand,product,discount_price,url\nB,ABD,$10,one\nB,ABC,$20,two\n")
+    (tmp_path / "2.csv").write_text("url,brand,product,discount_price\nthree,B,ABE,$30\n")
+    retail = files.read_retail_csv(spark, str(tmp_path), ordered=True)
+    listings = spark.createDataFrame(
+        [("a", None, "B", "ABX", 50.0, 40.0, None, "")], schemas.LISTINGS_BATCH
+    )
+    row = market.market_index(listings, retail).first()
+    assert (row.jomashop_name, row.jomashop_url) == ("ABD", "one")
+    again = files.in_file_order(spark.read.schema("brand string, product string").csv(str(tmp_path / "1.csv")))
+    assert dict(again.dtypes)["ord"] == "string"
+
+
+def test_many_names_of_one_brand(spark):
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choices("ABCDE ", k=rng.randint(1, 14))) for _ in range(300)})
+    n = spark.createDataFrame([("B", x) for x in names], "brand string, clean_name string")
+    p = spark.createDataFrame([("B", x + " EDP", f"{i:05d}") for i, x in enumerate(names)], "brand string, product string, ord string")
+    whole = {tuple(r) for r in best_matches(n, p).collect()}
+    assert whole == {tuple(r) for r in best_matches(n, p, slice_size=37).collect()}
+
+
+def test_older_versions_replace_nothing(spark):
+    rng = random.Random(4)
+    schema = "k string, v string, seen int, born int"
+    rows = [(f"k{rng.randrange(6)}", f"v{i}", i, i) for i in range(24)]
+    results = set()
+    for _ in range(4):
+        rng.shuffle(rows)
+        table = spark.createDataFrame([], schema)
+        for start in range(0, 24, 8):
+            batch = spark.createDataFrame(rows[start : start + 8], schema)
+            merged = merge_by_key(table, batch, ["k"], ["born"], version="seen")
+            table = spark.createDataFrame(merged.drop("_change").collect(), schema)
+        results.add(tuple(sorted(tuple(r) for r in table.collect())))
+    (only,) = results
+    newest = {k: max((r for r in rows if r[0] == k), key=lambda r: r[2]) for k in {r[0] for r in rows}}
+    assert {r[0]: r[1] for r in only} == {k: r[1] for k, r in newest.items()}
+    assert all(r[3] == min(x[3] for x in rows if x[0] == r[0]) for r in only)
+
+
+def test_replies(spark):
+    replies = spark.createDataFrame(
+        [
+            ("a", 0, '[{"size_ml": "50", "price_usd": "$1,299.50", "fill_percent": 95}]'),
+            ("b", 0, '[{"price_usd": "about 99", "brand": "Creed"}]'),
+            ("c", 0, 'Sure: {"brand": "Dior", "price": "99"}'),
+            ("d", 0, '[{"brand": "one"}]'),
+            ("d", 0, '[{"brand": "one"}]'),
+            ("d", 1, '[{"brand": "two"}]'),
+        ],
+        "url string, batch int, reply string",
+    )
+    rows = {r.url: r for r in PO.reply_listings(replies.filter("url < 'd'"), "url", single=True).collect()}
+    assert (rows["a"].size_ml, rows["a"].price_usd, rows["a"].fill_percent) == (50.0, 1299.5, 95.0)
+    assert (rows["b"].brand, rows["b"].price_usd) == ("Creed", None)
+    assert (rows["c"].brand, rows["c"].price_usd) == ("Dior", 99.0)
+    assert [r.url for r in PO.rejected_replies(replies, "url").collect()] == ["c"]
+    assert PO.rejected_replies(replies, "url", single=True).count() == 0
+    bad = [tuple(r) for r in PO.rejected_values(replies, "url").collect()]
+    assert bad == [("b", 0, "price_usd", "about 99")]
+    posts = spark.createDataFrame([("[WTS] x (bottle)", "d")], "title string, url string")
+    items = PO.reply_items(posts, replies).first()["items"]
+    assert [i["brand"] for i in items] == ["one", "two"]
+
+
+def test_link_attributes(spark):
+    html = (
+        '<li class="productItem"><a class="itemLink" data-href="/wrong" href="/right?a=1&amp;b=2">x</a></li>'
+        "<li class='productItem'><a class='itemLink' href=/bare>y</a></li>"
+    )
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert [r.link for r in pages.product_links(df, "page_id").orderBy("pos").collect()] == ["/right?a=1&b=2", "/bare"]
+    assert pages.product_links(df.withColumn("html", F.lit(None).cast("string")), "page_id").count() == 0

@@ -216,7 +216,7 @@ def test_ingest_two_batches(spark, tmp_path):
     ingest = with_alerts(spark, job(spark, tmp_path))
     one = ingest.run(posts(spark, FIRST))
     assert one == {
-        "scraped": 4, "posts_upserted": 3, "posts_modified": 0, "listings_extracted": 3,
+        "scraped": 4, "skipped_without_url": 1, "posts_upserted": 3, "posts_modified": 0, "listings_extracted": 3,
         "listings_upserted": 3, "listings_modified": 0, "alerts_checked": 2, "alerts_skipped": 0,
         "matches": 2, "events_upserted": 2, "events_modified": 0,
     }
