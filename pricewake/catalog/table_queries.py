@@ -453,12 +453,13 @@ baseline AS (
   JOIN published ON contains({S.search_text("reddit_name")}, target)
   QUALIFY row_number() OVER (PARTITION BY target ORDER BY brand, reddit_name) = 1),
 hay AS (
-  SELECT listing_key, price_usd, {S.search_text("brand")} || ' ' || {S.search_text("frag_name")}
+  SELECT listing_key, price_usd, flair, {S.search_text("brand")} || ' ' || {S.search_text("frag_name")}
     || ' ' || {S.search_text("raw_text")} || ' ' || {S.search_text("post_title")} AS hay
   FROM extracted)
 SELECT alert_id || ':' || listing_key AS event_key, alert_type, target_name, price_usd,
-  CAST('{I.NOW}' AS TIMESTAMP) AS matched_at, CAST(NULL AS TIMESTAMP) AS notified_at,
-  CAST('{I.EARLIER}' AS TIMESTAMP) AS created_at
+  -- Judged again only with a newer version of its post.
+  CAST(CASE WHEN flair IS NULL THEN '{I.EARLIER}' ELSE '{I.NOW}' END AS TIMESTAMP) AS matched_at,
+  CAST(NULL AS TIMESTAMP) AS notified_at, CAST('{I.EARLIER}' AS TIMESTAMP) AS created_at
 FROM ready LEFT JOIN baseline USING (target) JOIN hay ON contains(hay, target)
 WHERE alert_type = 'RARE' OR price_usd <= a - threshold * d
 """

@@ -51,9 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Scratch folders of this application that still stand, oldest first.
+_standing: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _standing.append(path)
+    return path
+
+
+def scratch_mark() -> int:
+    """Where the list of scratch folders stands now, for ``release``."""
+    return len(_standing)
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Delete the scratch folders made since ``mark``; only for results that are all used up."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _standing[mark:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    del _standing[mark:]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +81,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, so neither the steps nor lost executors compute it again,
     and gives the planner its true size when it looks for sides to broadcast.
+    The folder stands until ``release`` or the one who owns the shared folder removes it.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

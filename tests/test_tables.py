@@ -1,6 +1,7 @@
 import json
 import math
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,10 +214,11 @@ def with_alerts(spark, ingest):
 
 
 def test_ingest_two_batches(spark, tmp_path):
-    ingest = with_alerts(spark, job(spark, tmp_path))
+    ingest = with_alerts(spark, job(spark, tmp_path, full=True))
     one = ingest.run(posts(spark, FIRST))
     assert one == {
-        "scraped": 4, "skipped_without_url": 1, "posts_upserted": 3, "posts_modified": 0, "listings_extracted": 3,
+        "scraped": 4, "skipped_without_url": 1, "posts_upserted": 3, "posts_modified": 0,
+        "listings_extracted": 3,
         "listings_upserted": 3, "listings_modified": 0, "alerts_checked": 2, "alerts_skipped": 0,
         "matches": 2, "events_upserted": 2, "events_modified": 0,
     }
@@ -281,7 +283,7 @@ def test_ingest_without_cleaning(spark, tmp_path):
 
 
 def test_rearm(spark, tmp_path):
-    ingest = with_alerts(spark, job(spark, tmp_path, rearm=True))
+    ingest = with_alerts(spark, job(spark, tmp_path, rearm=True, full=True))
     ingest.run(posts(spark, FIRST))
     keys = ingest.events.read().select("event_key", F.lit("ok").alias("response"))
     assert ingest.acknowledge(keys, "2024-01-01") == 2
@@ -314,3 +316,25 @@ def test_newest_posts(spark):
         [("a", 1.0), ("b", 3.0), ("c", 3.0), ("d", None)], "url string, date double"
     )
     assert [r.url for r in J.newest_posts(df, 3).collect()] == ["b", "c", "a"]
+
+
+def test_scratch_does_not_grow(spark, tmp_path):
+    from pricewake.session import scratch_mark
+
+    ingest = with_alerts(spark, job(spark, tmp_path))
+    mark, folder = scratch_mark(), Path(shared_dir(spark))
+    sizes = []
+    for _ in range(2):
+        ingest.run(posts(spark, FIRST))
+        sizes.append(len(list(folder.iterdir())))
+    assert scratch_mark() == mark and sizes[0] == sizes[1]
+
+
+def test_only_new_listings_are_judged(spark, tmp_path):
+    ingest = with_alerts(spark, job(spark, tmp_path))
+    assert ingest.run(posts(spark, FIRST))["matches"] == 2
+    # The second batch touches the post of one event; the other event is left as it was.
+    assert ingest.run(posts(spark, SECOND))["matches"] == 1
+    ingest.alerts.upsert(ingest.alerts.read().withColumn("threshold", F.col("threshold") + 0.1))
+    # Changed alerts meet all stored listings again.
+    assert ingest.run(posts(spark, SECOND))["matches"] == 2
