@@ -40,8 +40,8 @@ SPANS_PER_DOC = 8
 MAX_LABELS = 1000
 MAX_FEATURES = 40_000
 MAX_LEXICON = 4_000
-MEMO = 200_000
-GROUP_BYTES = 2 << 20
+MEMO = 100_000
+GROUP_BYTES = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -201,9 +201,9 @@ def fit(
     types = {word: i for i, word in enumerate(counts)}
     rows = [model.indices(word) or [0] for word in types]
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((i for row in rows for i in row), np.int64, int(sizes.sum()))
+    flat = np.fromiter((i for row in rows for i in row), np.int32, int(sizes.sum()))
     first, share = np.cumsum(sizes) - sizes, 1 / np.sqrt(sizes)
-    of_type = np.repeat(np.arange(len(rows)), sizes)
+    of_type = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
 
     spans = sorted(spans, key=lambda x: (-len(x[1]), x[0], x[1]))
     length = np.array([len(words) for _, words in spans])
@@ -220,14 +220,16 @@ def fit(
     means = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     eye = np.eye(len(labels))
     for step in range(1, rounds + 1):
-        scores = np.add.reduceat(model.weights[flat], first, axis=0) * share[:, None]
+        # One label at a time: the gathered weights of all are the largest array there is.
+        scores = np.empty((len(types), len(labels)))
+        for i in range(len(labels)):
+            scores[:, i] = np.add.reduceat(model.weights[flat, i], first) * share
         posterior, pairs, _ = forward_backward(scores[at], length, model.move, model.start)
         off = (eye[gold][:, None, :] - posterior) * live[:, :, None] * weight[:, None, None]
-        by_type = np.stack(
-            [np.bincount(at[live], off[live][:, i], len(types)) for i in range(len(labels))], 1
-        )
-        by_feature = (by_type * share[:, None])[of_type]
-        up = np.stack([np.bincount(flat, by_feature[:, i], size) for i in range(len(labels))], 1)
+        up = np.empty_like(model.weights)
+        for i in range(len(labels)):
+            by_type = np.bincount(at[live], off[:, :, i][live], len(types)) * share
+            up[:, i] = np.bincount(flat, by_type[of_type], size)
         seen = np.diag(np.bincount(gold, length - 1, len(labels)))
         # Moves are not weighted by label, nor are starts: a few numbers that all labels share.
         up_move = (seen - pairs) * total / max(1, int(length.sum()))
