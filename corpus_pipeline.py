@@ -14,11 +14,12 @@ from pricewake.session import written
 SHARDS = 40
 ENTROPY = 0.95
 REPETITION = 4.0
-MIN_LANGUAGE_SCORE = 0.5
+# Short texts in a known language can fall below a half; what no language claims is junk.
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no language has half of the words, go."""
+    """Documents without a letter, or of which no language has a clear share of the words, go."""
     return language.keep_known(docs, language.train(docs), MIN_LANGUAGE_SCORE)
 
 

@@ -25,7 +25,7 @@ def test_stages(spark):
             want = Counter()
             for r in before:
                 sums, words = model.label([r.text])
-                if len(words[0]) and sums[0].max() / len(words[0]) >= 0.5:
+                if len(words[0]) and sums[0].max() / len(words[0]) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
                     want[r.doc_id] += 1
             assert got == want
         elif name == "near_copies":
