@@ -146,6 +146,9 @@ def probe(df: DataFrame) -> DataFrame:
     """One row: how many rows there are, and any one of them as JSON."""
     fields = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     # Only one row of all columns is read; the count needs none of them.
-    sample = df.limit(1).agg(F.first(F.to_json(fields, {"ignoreNullFields": "false"})).alias("sample"))
-    count = df.agg(F.count(F.lit(1)).alias("row_count"))
-    return count.join(F.broadcast(sample), F.lit(True))
+    sample = df.limit(1).select(
+        F.lit(0).cast("long").alias("rows"),
+        F.to_json(fields, {"ignoreNullFields": "false"}).alias("sample"),
+    )
+    count = df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(None).cast("string").alias("sample"))
+    return count.unionAll(sample).agg(F.sum("rows").alias("row_count"), F.max("sample").alias("sample"))
