@@ -176,7 +176,9 @@ DOC_POSTS_SQL = f"posts AS (SELECT {_columns(DOC_POST)} FROM documents)"
 
 PAGE = {
     "url": "'https://shop.example/p/' || CAST(p_partkey AS VARCHAR(20))",
-    "html": "'<!DOCTYPE html><html><body><nav><a class=\"menu\" href=\"/x\">x</a></nav>' || "
+    "html": "'<!DOCTYPE html><html><body><nav><a class=\"menu\" href=\"/x\">x</a>"
+    # A link of the class, but in no container.
+    "<a class=\"child-product\" href=\"/other\">other</a></nav>' || "
     "CASE WHEN p_size = 1 THEN '' ELSE "
     "'<h1 id=\"product-h1-product-name\"> <b>' || p_name || '</b> &amp; ' || p_type || ' </h1>' "
     "END || "

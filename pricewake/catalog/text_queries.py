@@ -372,7 +372,8 @@ QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id, pos) = 1
 
 
 def variant_expand(spark, sf):
-    return PG.variant_urls(I.table(spark, sf, "pages"), "page_id", variant=None).unionByName(
+    captured = I.table(spark, sf, "pages")
+    return PG.variant_urls(captured, "page_id", variant=None, container=None).unionByName(
         PG.variant_urls(I.product_pages(spark, sf), F.lit(-1).cast("bigint").alias("page_id"))
     )
 

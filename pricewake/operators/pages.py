@@ -16,6 +16,7 @@ SITE = "https://www.jomashop.com"
 ITEM_CLASS = "productItem"
 LINK_CLASSES = ["productImg-link", "productName-link", "itemLink"]
 VARIANT_CLASS = "child-product"
+CONTAINER_CLASS = "child-products-container"
 HEADER = "#product-h1-product-name"
 SELECTORS = {
     "product": [HEADER],
@@ -85,12 +86,41 @@ def absolute(link: Column, site: str = SITE) -> Column:
     return F.when(F.startswith(link, F.lit("http")), link).otherwise(F.concat(F.lit(site), link))
 
 
+def _until_closed(rest: Column, tag: str) -> Column:
+    """The text behind an opening tag up to the tag that closes it, nested ones included."""
+    pieces = F.split(rest, rf"(?i)(?=</?{tag}\b)", -1)
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens = F.rlike(piece, F.lit(rf"(?i)^<{tag}\b")).cast("int")
+        closes = F.rlike(piece, F.lit(rf"(?i)^</{tag}\b")).cast("int")
+        depth = F.when(state["depth"] > 0, state["depth"] + opens - closes).otherwise(0)
+        text = F.when(depth > 0, F.concat(state["text"], piece)).otherwise(state["text"])
+        return F.struct(depth.alias("depth"), text.alias("text"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["text"])
+
+
 def variant_urls(
-    pages: DataFrame, *keep: str, variant: str | None = VARIANT_CLASS, site: str = SITE
+    pages: DataFrame,
+    *keep: str,
+    variant: str | None = VARIANT_CLASS,
+    container: str | None = CONTAINER_CLASS,
+    site: str = SITE,
 ) -> DataFrame:
-    """All variant links of a product page, or the page itself when it has none."""
+    """All variant links of a product page, or the page itself when it has none.
+
+    Only links inside the first ``container`` count, and all links of the page without one named.
+    """
     opening = _classed("a", variant) if variant else r"<a\b[^>]*>"
-    tags = F.regexp_extract_all("html", F.lit(rf"(?is){opening}"), F.lit(0))
+    part = F.col("html")
+    if container:
+        behind = F.get(F.split("html", rf"(?is){_classed('div', container)}", 2), F.lit(1))
+        part = F.when(behind.isNotNull(), _until_closed(behind, "div"))
+    tags = F.coalesce(
+        F.regexp_extract_all(part, F.lit(rf"(?is){opening}"), F.lit(0)),
+        F.array().cast("array<string>"),
+    )
     hrefs = F.filter(F.transform(tags, _href), lambda h: h.isNotNull())
     full = F.transform(hrefs, lambda h: absolute(h, site))
     urls = F.when(F.size(full) > 0, full).otherwise(F.array("url"))

@@ -101,3 +101,23 @@ def test_link_attributes(spark):
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
     assert [r.link for r in pages.product_links(df, "page_id").orderBy("pos").collect()] == ["/right?a=1&b=2", "/bare"]
     assert pages.product_links(df.withColumn("html", F.lit(None).cast("string")), "page_id").count() == 0
+
+
+def test_variants_stand_in_their_container(spark):
+    link = '<a class="child-product" href="/{}">x</a>'
+    html = (
+        link.format("before")
+        + '<div class="child-products-container big"><div>'
+        + link.format("one")
+        + "</div><DIV><div></div></DIV>"
+        + link.format("two")
+        + "</div><div>"
+        + link.format("after")
+        + "</div>"
+    )
+    rows = [(1, "u1", html), (2, "u2", link.format("x")), (3, "u3", None)]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = [tuple(r) for r in pages.variant_urls(df, "page_id", site="").orderBy("page_id", "pos").collect()]
+    assert got == [(1, 0, "/one"), (1, 1, "/two"), (2, 0, "u2"), (3, 0, "u3")]
+    anywhere = pages.variant_urls(df.filter("page_id = 1"), "page_id", container=None, site="")
+    assert anywhere.count() == 4
