@@ -200,6 +200,24 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "part"), PAGE)
 
 
+# ---- catalogue pages: one per part ---------------------------------------------------------
+
+CATALOGUE_PAGE = {
+    "page_id": "p_partkey",
+    "html": "'<ul><li class=\"ad\"><a class=\"itemLink\" href=\"/ad\">ad</a></li>"
+    "<li class=\"productItem big\"><ul><li>' || p_brand || '</li></ul>' || "
+    "CASE WHEN p_size % 2 = 0 THEN '<a class=\"productName-link\" data-href=\"/no\" href=\"/n/' || "
+    "CAST(p_partkey AS VARCHAR(20)) || '\">name</a>' ELSE '' END || "
+    "CASE WHEN p_size % 3 = 0 THEN '<a class=\"x productImg-link\" href=\"/i?a=1&amp;b=' || "
+    "CAST(p_partkey AS VARCHAR(20)) || '\">image</a>' ELSE '' END || "
+    "'</li></ul><a class=\"itemLink\" href=\"/end\">end</a>'",
+}
+
+
+def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(table(spark, sf_dir, "part"), CATALOGUE_PAGE)
+
+
 # ---- alerts: one per customer ---------------------------------------------------------------
 
 ALERT = {

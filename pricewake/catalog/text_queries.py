@@ -371,6 +371,25 @@ QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id, pos) = 1
 """
 
 
+def catalogue_links(spark, sf):
+    """Links of the shop's own list pages, chosen by class and by place."""
+    pages = I.catalogue_pages(spark, sf)
+    by_class = PG.product_links(pages, "page_id").withColumn("chosen", F.lit("class"))
+    by_place = PG.product_links(pages, "page_id", document_order=True)
+    return by_class.unionByName(by_place.withColumn("chosen", F.lit("place")))
+
+
+CATALOGUE_LINKS = """
+WITH p AS (
+  SELECT p_partkey AS page_id, CASE WHEN p_size % 2 = 0 THEN '/n/' || p_partkey END AS name,
+    CASE WHEN p_size % 3 = 0 THEN '/i?a=1&b=' || p_partkey END AS image FROM part)
+SELECT page_id, 0 AS pos, coalesce(image, name) AS link, 'class' AS chosen FROM p
+WHERE coalesce(image, name) IS NOT NULL
+UNION ALL
+SELECT page_id, 0, coalesce(name, image), 'place' FROM p WHERE coalesce(image, name) IS NOT NULL
+"""
+
+
 def variant_expand(spark, sf):
     captured = I.table(spark, sf, "pages")
     return PG.variant_urls(captured, "page_id", variant=None, container=None).unionByName(
@@ -442,6 +461,7 @@ QUERIES = {
     "listing_extract": (listing_extract, LISTING_EXTRACT),
     "text_normalise": (text_normalise, TEXT_NORMALISE),
     "link_extract": (link_extract, LINK_EXTRACT),
+    "catalogue_links": (catalogue_links, CATALOGUE_LINKS),
     "link_first_seen": (link_first_seen, LINK_FIRST_SEEN),
     "variant_expand": (variant_expand, VARIANT_EXPAND),
     "retail_pages": (retail_pages, RETAIL_PAGES),

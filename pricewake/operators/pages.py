@@ -40,11 +40,6 @@ def _classed(tag: str, name: str) -> str:
     return rf"""<{tag}\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["'][^>]*>"""
 
 
-def _item_pattern(item_class: str | None) -> str:
-    opening = _classed("li", item_class) if item_class else r"<li\b[^>]*>"
-    return rf"(?is){opening}(.*?)</li>"
-
-
 def _href(tag: Column) -> Column:
     # Only one of the three groups is ever filled.
     link = F.concat(*[F.regexp_extract(tag, _HREF, n) for n in (1, 2, 3)])
@@ -53,30 +48,6 @@ def _href(tag: Column) -> Column:
     return F.nullif(F.trim(link), F.lit(""))
 
 
-def product_links(
-    pages: DataFrame,
-    *keep: str,
-    item_class: str | None = ITEM_CLASS,
-    link_classes: Sequence[str] = tuple(LINK_CLASSES),
-) -> DataFrame:
-    """One link per list item: of its first anchor with a link class, in class order.
-
-    Without ``link_classes`` any anchor counts; without ``item_class`` any item.
-    """
-    items = F.regexp_extract_all("html", F.lit(_item_pattern(item_class)), F.lit(1))
-    if link_classes:
-        anchors = [rf"(?is){_classed('a', c)}" for c in link_classes]
-    else:
-        anchors = [r"(?is)<a\b[^>]*>"]
-    item = F.col("_item")
-    link = F.coalesce(*[_href(F.regexp_extract(item, a, 0)) for a in anchors])
-    return (
-        pages.select(*keep, F.posexplode(items).alias("pos", "_item"))
-        .select(*keep, "pos", link.alias("link"))
-        .filter(F.col("link").isNotNull())
-    )
-
-
 def first_seen_links(links: DataFrame, page: str) -> DataFrame:
     """Each link once, with the page and position where it first occurs."""
     return first_by(links.select("link", page, "pos"), ["link"], F.col(page), F.col("pos"))
@@ -127,6 +98,39 @@ def variant_urls(
     return pages.select(*keep, F.posexplode(urls).alias("pos", "variant_url"))
 
 
+def product_links(
+    pages: DataFrame,
+    *keep: str,
+    item_class: str | None = ITEM_CLASS,
+    link_classes: Sequence[str] = tuple(LINK_CLASSES),
+    document_order: bool = False,
+) -> DataFrame:
+    """One link per list item: of its first anchor with a link class, in class order.
+
+    With ``document_order`` it is the first anchor of the item that has any of the classes. Without
+    ``link_classes`` any anchor counts; without ``item_class`` any item. Lists inside an item belong to it.
+    """
+    opening = rf"(?is){_classed('li', item_class)}" if item_class else r"(?is)<li\b[^>]*>"
+    behind = F.split("html", opening, -1)
+    items = F.transform(
+        F.slice(behind, F.lit(2), F.greatest(F.size(behind) - 1, F.lit(0))),
+        lambda rest: _until_closed(rest, "li"),
+    )
+    if not link_classes:
+        anchors = [r"(?is)<a\b[^>]*>"]
+    elif document_order:
+        anchors = [rf"(?is){_classed('a', f'(?:{"|".join(link_classes)})')}"]
+    else:
+        anchors = [rf"(?is){_classed('a', c)}" for c in link_classes]
+    item = F.col("_item")
+    link = F.coalesce(*[_href(F.regexp_extract(item, a, 0)) for a in anchors])
+    return (
+        pages.select(*keep, F.posexplode(items).alias("pos", "_item"))
+        .select(*keep, "pos", link.alias("link"))
+        .filter(F.col("link").isNotNull())
+    )
+
+
 # ---- fields of a product page ------------------------------------------------
 
 
@@ -210,10 +214,12 @@ class _FirstTexts(HTMLParser):
             self.texts[name].append(data)
 
 
+_PARSED = {s: _Selector(s) for texts in SELECTORS.values() for s in texts}
+
+
 def page_fields(html: str | None) -> dict[str, str]:
     """The first usable text per field; a missing field is an empty text."""
-    selectors = {s: _Selector(s) for texts in SELECTORS.values() for s in texts}
-    parser = _FirstTexts(selectors)
+    parser = _FirstTexts(_PARSED)
     parser.feed(html or "")
     parser.close()
     found = {s: " ".join("".join(t).split()) for s, t in parser.texts.items()}
