@@ -193,7 +193,7 @@ def keyed_table(spark, sf):
     """The same upsert through a stored table: two commits, then the second one again."""
     old = _old_users(spark, sf)
     table = KeyedTable(
-        spark, scratch_path(spark, "users"), old.schema, ["user_id"], ["first_seen"], buckets=8
+        spark, scratch_path(spark, "users"), old.schema, ["user_id"], ["first_seen"]
     )
     table.upsert(old)
     batch = _user_rows(spark, sf).filter("event_type <> 'click'")
@@ -340,8 +340,8 @@ FROM posts, (SELECT unnest([0, 1, 2]) AS n) WHERE contains(upper(title), '[WTS]'
 def _tables(spark):
     root = scratch_path(spark, "ingest")
     return J.Ingest(
-        J.posts_table(spark, f"{root}/posts", buckets=8),
-        J.listings_table(spark, f"{root}/listings", buckets=8),
+        J.posts_table(spark, f"{root}/posts"),
+        J.listings_table(spark, f"{root}/listings"),
     )
 
 
@@ -419,9 +419,9 @@ def stream_alerts(spark, sf):
     for batch in _feed(spark, sf):
         batch.repartition(2, "url").write.mode("append").json(f"{root}/landing")
     job = _tables(spark)
-    job.alerts = J.alerts_table(spark, f"{root}/alerts", buckets=2)
-    job.index = market.index_table(spark, f"{root}/index", buckets=2)
-    job.events = J.events_table(spark, f"{root}/events", buckets=8)
+    job.alerts = J.alerts_table(spark, f"{root}/alerts")
+    job.index = market.index_table(spark, f"{root}/index")
+    job.events = J.events_table(spark, f"{root}/events")
     nations = I.table(spark, sf, "nation").join(
         I.table(spark, sf, "part"), F.expr("n_nationkey = p_partkey")
     )

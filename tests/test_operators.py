@@ -428,7 +428,7 @@ def test_browse(spark):
 
 
 def test_publish(spark, tmp_path):
-    table = market.index_table(spark, str(tmp_path / "index"), buckets=4)
+    table = market.index_table(spark, str(tmp_path / "index"))
     index = index_frame(spark)
     assert market.publish(table, index) == 4
     assert market.publish(table, index) == 0

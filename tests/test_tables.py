@@ -91,7 +91,7 @@ def test_rename_layer(spark):
 
 
 def make(spark, tmp_path, **options):
-    return KeyedTable(spark, str(tmp_path / "t"), SCHEMA, ["k"], ["born"], buckets=4, **options)
+    return KeyedTable(spark, str(tmp_path / "t"), SCHEMA, ["k"], ["born"], **options)
 
 
 def test_upsert(spark, tmp_path):
@@ -120,7 +120,7 @@ def test_batch_order_does_not_matter(spark, tmp_path):
     data = [(f"k{i % 7}", i, "s", i) for i in range(60)]
     results = []
     for name, shuffled in (("x", data), ("y", data[::-1])):
-        table = KeyedTable(spark, str(tmp_path / name), SCHEMA, ["k"], ["born"], buckets=3)
+        table = KeyedTable(spark, str(tmp_path / name), SCHEMA, ["k"], ["born"])
         table.upsert(spark.createDataFrame(shuffled, SCHEMA), order=[F.col("v")])
         results.append(rows_of(table.read()))
     assert results[0] == results[1]
@@ -128,38 +128,62 @@ def test_batch_order_does_not_matter(spark, tmp_path):
     assert {r[3] for r in results[0]} == set(range(7))
 
 
-def test_only_touched_buckets_are_rewritten(spark, tmp_path):
-    table = make(spark, tmp_path)
-    table.upsert(spark.createDataFrame([(f"k{i}", i, "s", 1) for i in range(40)], SCHEMA))
-    before = table._manifest()[1]
-    table.upsert(spark.createDataFrame([("k3", 99, "s", 1)], SCHEMA))
-    after = table._manifest()[1]
-    assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
-    assert table.read().count() == 40
+def folder_bytes(folder):
+    return sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
 
 
-def test_unfinished_commit_is_invisible(spark, tmp_path, monkeypatch):
+def test_an_upsert_writes_its_batch_only(spark, tmp_path):
+    table = make(spark, tmp_path)
+    table.upsert(spark.range(50_000).selectExpr("'k' || id AS k", "id AS v", "uuid() AS own", "1L AS born"))
+    for v in (98, 99):
+        table.upsert(spark.createDataFrame([("k3", v, "s", 1)], SCHEMA))
+    sizes = [folder_bytes(f) for f in sorted((tmp_path / "t").glob("change-*"))]
+    assert len(sizes) == 3 and max(sizes[1:]) < sizes[0] / 100
+    assert table.read().count() == 50_000
+    assert rows_of(table.read().filter("k = 'k3'")) == {("k3", 99, "s", 1)}
+
+
+def test_compaction_changes_no_row(spark, tmp_path):
+    table, plain = make(spark, tmp_path / "a"), make(spark, tmp_path / "b")
+    plain.compact()
+    for n in range(6):
+        batch = [(f"k{(n * i) % 11}", n, f"s{i}", n) for i in range(8)]
+        gone = spark.createDataFrame([(f"s{n}",)], "own string") if n % 2 else None
+        counts = []
+        for t in (table, plain):
+            frame = spark.createDataFrame(batch, SCHEMA)
+            counts.append(t.upsert(frame, [F.col("own")], replace=gone))
+        assert counts[0] == counts[1]
+        version = table.version()
+        table.compact(2)
+        assert table.version() == version == plain.version()
+        assert rows_of(table.read()) == rows_of(plain.read())
+    table.compact()
+    table.compact()
+    assert rows_of(table.read()) == rows_of(plain.read())
+    # What the last but one compaction replaced is gone.
+    assert len(list((tmp_path / "a" / "t").iterdir())) < len(list((tmp_path / "b" / "t").iterdir())) + 1
+
+
+def test_unfinished_commit_is_invisible(spark, tmp_path):
     table = make(spark, tmp_path)
     table.upsert(spark.createDataFrame([("a", 1, "x", 1)], SCHEMA))
-
-    def fail(*args):
-        raise RuntimeError("lost")
-
-    monkeypatch.setattr(KeyedTable, "_publish", fail)
-    with pytest.raises(RuntimeError):
-        table.upsert(spark.createDataFrame([("a", 2, "x", 1)], SCHEMA))
-    monkeypatch.undo()
-    assert rows_of(table.read()) == {("a", 1, "x", 1)}
+    table.upsert(spark.createDataFrame([("a", 2, "x", 1)], SCHEMA))
+    # As a job leaves it that died before its end.
+    (tmp_path / "t" / f"change-{2:012d}" / "_SUCCESS").unlink()
+    assert rows_of(table.read()) == {("a", 1, "x", 1)} and table.version() == 1
     table.upsert(spark.createDataFrame([("a", 3, "x", 1)], SCHEMA))
-    assert rows_of(table.read()) == {("a", 3, "x", 1)}
+    assert rows_of(table.read()) == {("a", 3, "x", 1)} and table.version() == 3
 
 
-def test_rival_commit_fails(spark, tmp_path):
+def test_rival_commit_fails(spark, tmp_path, monkeypatch):
     table = make(spark, tmp_path)
     table.upsert(spark.createDataFrame([("a", 1, "x", 1)], SCHEMA))
-    version, folders, buckets = table._manifest()
-    with pytest.raises(Exception, match="exists"):
-        table._publish(version, folders, buckets)
+    monkeypatch.setattr(KeyedTable, "_numbers", lambda *a: [])
+    with pytest.raises(Exception, match="(?i)exists"):
+        table.upsert(spark.createDataFrame([("a", 2, "x", 1)], SCHEMA))
+    monkeypatch.undo()
+    assert rows_of(table.read()) == {("a", 1, "x", 1)}
 
 
 # ---- ingest ------------------------------------------------------------------------
@@ -187,11 +211,11 @@ SECOND = [
 def job(spark, root, **options):
     root = str(root)
     return J.Ingest(
-        J.posts_table(spark, f"{root}/posts", buckets=2),
-        J.listings_table(spark, f"{root}/listings", buckets=2),
-        J.alerts_table(spark, f"{root}/alerts", buckets=2),
-        KeyedTable(spark, f"{root}/index", schemas.MARKET_INDEX, ["reddit_name"], buckets=2),
-        J.events_table(spark, f"{root}/events", buckets=2),
+        J.posts_table(spark, f"{root}/posts"),
+        J.listings_table(spark, f"{root}/listings"),
+        J.alerts_table(spark, f"{root}/alerts"),
+        KeyedTable(spark, f"{root}/index", schemas.MARKET_INDEX, ["reddit_name"]),
+        J.events_table(spark, f"{root}/events"),
         **options,
     )
 
@@ -253,6 +277,16 @@ def test_replaced_posts_lose_stale_listings(spark, tmp_path):
     assert {r.listing_key for r in ingest.listings.read().collect()} == {"u1#0"}
 
 
+def test_older_posts_alert_and_replace_nothing(spark, tmp_path):
+    ingest = with_alerts(spark, job(spark, tmp_path, replace_post=True))
+    sold = [("[WTS] a", "~~Creed Aventus 50ml $100~~", "Sales:3", "u1", "2024-01-02")]
+    ingest.run(posts(spark, sold))
+    before = rows_of(ingest.events.read().select("event_key"))
+    ingest.run(posts(spark, FIRST))
+    assert {r.listing_key for r in ingest.listings.read().collect()} == {"u1#0", "u2#0"}
+    assert rows_of(ingest.events.read().select("event_key")) == before
+
+
 def test_ingest_from_replies(spark, tmp_path):
     ingest = job(spark, tmp_path, cleaned_with="extractor")
     ingest.events = None
