@@ -146,7 +146,7 @@ def test_an_upsert_writes_its_batch_only(spark, tmp_path):
 def test_compaction_changes_no_row(spark, tmp_path):
     table, plain = make(spark, tmp_path / "a"), make(spark, tmp_path / "b")
     plain.compact()
-    for n in range(6):
+    for n in range(4):
         batch = [(f"k{(n * i) % 11}", n, f"s{i}", n) for i in range(8)]
         gone = spark.createDataFrame([(f"s{n}",)], "own string") if n % 2 else None
         counts = []
