@@ -5,6 +5,10 @@ rolling hash over its and the line before it is a multiple of ``divisor``. An in
 moves no boundary but those next to it, so the same passage gives the same chunks wherever
 it stands. A chunk of several lines that stands elsewhere too is removed from all places but the
 first. Chunks are first counted by hash; texts of repeated hashes only are then compared in full.
+
+Chunks miss what lies across their boundaries, which is most of short passages. ``drop_repeated_passages``
+has no boundaries: every window of ``min_lines`` lines that are not blank is an anchor, one at each line, and
+the windows of a repeated passage overlap to the whole of it.
 """
 
 from __future__ import annotations
@@ -115,3 +119,76 @@ def drop_repeated_lines(
         F.when(none, 0).otherwise(n_lines - F.size("kept")).cast("long").alias("removed_lines"),
         F.when(~none, F.array_join("kept", "\n")).alias("text"),
     )
+
+
+def line_windows(lines: Column, min_lines: int) -> Column:
+    """(start, stop, key) of every ``min_lines`` consecutive lines that are not blank, blank ones between
+    them included; the key is the SHA-256 of the bytes."""
+
+    def windows(lines: Column) -> Column:
+        def of(filled: Column) -> Column:
+            def window(start: Column, k: Column) -> Column:
+                stop = F.element_at(filled, k + min_lines)
+                text = F.array_join(F.slice(lines, start + 1, stop - start + 1), "\n")
+                return F.struct(
+                    start.alias("start"), stop.alias("stop"), F.unhex(F.sha2(text, 256)).alias("key")
+                )
+
+            return F.transform(F.slice(filled, 1, F.greatest(F.size(filled) - (min_lines - 1), F.lit(0))), window)
+
+        numbers = F.transform(lines, lambda line, i: F.when(F.trim(line) != "", i))
+        return F.element_at(F.transform(F.array(F.filter(numbers, lambda i: i.isNotNull())), of), 1)
+
+    return F.element_at(F.transform(F.array(lines), windows), 1)
+
+
+def drop_repeated_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES
+) -> DataFrame:
+    """One row per document: id, ``n_lines``, ``removed_lines``, ``text`` without the removed lines.
+
+    Every passage of ``min_lines`` or more lines that are not blank goes, from its first to its last such
+    line, where equal bytes stand at a place before, by id, then by line. So a passage of any length goes
+    whole, and the first place of every line stays. Windows are compared by SHA-256, so only digests and
+    places are shuffled. Nulls, empty texts and equal rows are treated as by ``drop_repeated_lines``.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    lines = F.split("text", "\n", -1)
+    places = (
+        rows.filter(F.col("text").isNotNull())
+        .select("id", "text_hash", F.explode(line_windows(lines, min_lines)).alias("w"))
+        .select("id", "text_hash", "w.*", F.xxhash64("w.key").alias("hash"))
+    )
+    repeated = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("hash")
+    again = written(places.join(repeated, "hash", "left_semi"), "repeated-windows")
+    at = F.struct("id", "text_hash", "start")
+    first = again.groupBy("key").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.filter(F.col("n") > 1).select("key", "first")
+    removed = (
+        again.withColumn("at", at)
+        .join(first, "key")
+        .filter(~F.col("at").eqNullSafe(F.col("first")))
+        .groupBy(F.col("id").alias("of"), F.col("text_hash").alias("of_hash"))
+        .agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+    )
+    marked = rows.join(
+        removed,
+        F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")),
+        "left",
+    )
+
+    def left(lines: Column) -> Column:
+        gone = F.flatten(F.transform("gone", lambda w: F.sequence(w["start"], w["stop"])))
+        stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.transform(stays, lambda i: F.element_at(lines, i + 1))
+
+    whole = F.col("gone").isNull()
+    marked = marked.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
+    marked = marked.withColumn("kept", F.when(~whole, F.element_at(F.transform(F.array(lines), left), 1)))
+    return marked.select(
+        F.col("id").alias(id_col),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("removed_lines"),
+        F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+    )

@@ -132,6 +132,35 @@ FROM documents d JOIN rebuilt r USING (doc_id)
 """
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+OP4_PASSAGES_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), f AS (
+  SELECT doc_id, i, lead(i, {lines.MIN_LINES - 1}) OVER (PARTITION BY doc_id ORDER BY i) AS j
+  FROM l WHERE trim(line, ' ') <> ''
+), w AS (
+  SELECT doc_id, i, j, array_to_string(list_slice(string_split(text, chr(10)), i, j), chr(10)) AS passage
+  FROM f JOIN documents USING (doc_id) WHERE j IS NOT NULL
+), nth AS (
+  SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) AS nth FROM w
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM nth WHERE nth > 1
+), rebuilt AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, r.text
+FROM documents d LEFT JOIN rebuilt r USING (doc_id)
+"""
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_rows(_table(spark, sf_dir, "documents"), SHARDS)
 
@@ -197,6 +226,7 @@ QUERIES = {
     "op2_temperature_mix": (op2_temperature_mix, OP2_SQL),
     "op3_license_scan": (op3_license_scan, None),
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),
+    "op4_repeated_passages": (op4_repeated_passages, OP4_PASSAGES_SQL),
     "op5_stratified_shards": (op5_stratified_shards, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_benchmark_leaks": (op7_benchmark_leaks, None),

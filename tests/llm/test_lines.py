@@ -74,3 +74,63 @@ def test_awkward(spark):
     nulls = awkward(spark, [(None, "a\nb\nc\nd\n", "en", "s"), (None, "a\nb\nc\nd\nother", "en", "s")])
     assert Counter(r.removed_chunks > 0 for r in lines.drop_repeated_lines(nulls, divisor=1 << 40, min_lines=2).collect())
     assert lines.drop_repeated_lines(empty(spark)).count() == 0
+
+
+def maximal_runs(rows):
+    """Lines of every maximal equal run with two or more filled lines that starts at an earlier place, too."""
+    places = [(i, text.split("\n")) for i, text in sorted(rows) if text is not None]
+    at = {}
+    for d, (_, body) in enumerate(places):
+        for k, line in enumerate(body):
+            at.setdefault(line, []).append((d, k))
+    gone = {i: set() for i, _ in rows}
+    for d, (i, body) in enumerate(places):
+        for k, line in enumerate(body):
+            for e, m in at[line]:
+                if (e, m) >= (d, k):
+                    break
+                other, n = places[e][1], 0
+                while k + n < len(body) and m + n < len(other) and body[k + n] == other[m + n]:
+                    n += 1
+                filled = [k + x for x in range(n) if body[k + x].strip(" ")]
+                if len(filled) >= 2:
+                    gone[i].update(range(filled[0], filled[-1] + 1))
+    return gone
+
+
+def test_passages_like_brute_force(spark):
+    random.seed(7)
+    passages = [[f"p{k} line {j}" for j in range(random.randint(2, 5))] for k in range(20)]
+    rows = []
+    for i in range(150):
+        body = []
+        for passage in random.sample(passages, random.randint(0, 4)):
+            body += [f"own {i} {random.random()}"] * random.randint(0, 1) + [random.choice(("", "  ", "p"))]
+            a = random.randint(0, len(passage) - 1)
+            body += passage[a:] if random.random() < 0.3 else [x for y in passage for x in (y, *[""] * (a % 2))]
+        rows.append((i, "\n".join(body)))
+    rows += [(200, None), (201, ""), (202, "\n\n\n"), (203, rows[0][1]), (204, "a\nb\n" * 300), (205, "c"), (206, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.drop_repeated_passages(df)
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    got, want = {r.doc_id: r for r in found.collect()}, maximal_runs(rows)
+    for i, text in rows:
+        body = [] if text is None else text.split("\n")
+        kept = "\n".join(x for k, x in enumerate(body) if k not in want[i])
+        assert tuple(got[i][1:]) == (len(body), len(want[i]), None if text is None else kept), i
+    chunked = lines.drop_repeated_lines(df).collect()
+    assert sum(map(len, want.values())) > 1.2 * sum(r.removed_lines for r in chunked)
+
+
+def test_passages_short_and_awkward(spark):
+    # Two lines between foreign ones: nearly no chunk is as short and cut just there.
+    rows = [(i, f"before {i}\nshared one\nshared two\nafter {i}") for i in range(20)]
+    got = lines.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == {i: 2 if i else 0 for i in range(20)}
+    assert len(lines.drop_repeated_passages(awkward(spark)).collect()) == awkward(spark).count()
+    twice = lines.drop_repeated_passages(awkward(spark, [(1, "a\nb\nc", "en", "s")] * 2)).collect()
+    assert [r.removed_lines for r in twice] == [0, 0]
+    nulls = awkward(spark, [(None, "a\nb\nc", "en", "s"), (None, "a\nb\nd", "en", "s")])
+    assert sorted(r.removed_lines for r in lines.drop_repeated_passages(nulls).collect()) == [0, 2]
+    assert lines.drop_repeated_passages(empty(spark)).count() == 0
