@@ -7,7 +7,8 @@ is as long as the longest item, so each place an item can stand in lies within s
 Each passage is a query. The sum of its terms' largest impacts, WAND's first test, is taken
 for all passages of a batch at once; those that pass it run block-max WAND, which
 retrieves every item above the threshold. A retrieved item is a leak when the passage
-holds at least ``overlap`` of the five-word shingles of its question and of its answer.
+holds at least ``overlap`` of the five-word shingles of its question and of its answer;
+an item without an answer of its own is all question.
 
 Items come in blocks of bounded size, one index and one pass over the texts each, so the
 index that is shipped to the tasks has a bound however many items there are.
@@ -44,7 +45,6 @@ GROUP_BYTES = 2 << 20
 _EPS = 1e-9
 
 _WORD = re.compile(r"\w+")
-_LAST_SENTENCE = re.compile(r"(?s)^(.*[.?!:])\s+(\S.*)$")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,9 +52,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def split_item(text: str | None) -> tuple[str, str]:
-    """Question and answer of an item without an answer of its own: its last sentence."""
-    found = _LAST_SENTENCE.match(text or "")
-    return (found[1], found[2]) if found and words_of(found[1]) else (text or "", "")
+    """Question and answer of an item without an answer of its own: all of it is the question."""
+    return text or "", ""
 
 
 def shingles(words: list[str], width: int = SHINGLE) -> set[tuple[str, ...]]:
@@ -274,8 +273,8 @@ def leaks(
     """One row per document and leaked item: ids, ``score``, ``question_overlap``,
     ``answer_overlap``, ``first_word`` of the best passage (the first of equal ones).
 
-    Without ``answer_col`` an item's last sentence is its answer. Null or empty texts
-    leak nothing; null items and items without words match nothing; parts of under five
+    Without ``answer_col`` the whole item is the question: it is verified as one, and ``answer_overlap``
+    is 1. Null or empty texts leak nothing; null items and items without words match nothing; parts of under five
     words count as one shingle. Repeated rows and items are matched each, null ids
     stay null, other columns are not read, empty tables give no rows. Texts are read
     once per block of items and never shuffled.

@@ -119,3 +119,30 @@ def test_awkward(spark):
     assert dc.leaks(empty(spark), items).count() == 0
     none = items.filter("item_id > 99")
     assert dc.leaks(rows, none).count() == 0 and dc.drop_leaks(rows, none).count() == rows.count()
+
+
+def test_edited_last_sentence(spark):
+    """Every single-word edit, and the cut of a short last sentence, that keeps 0.8 of the whole item leaks."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = [(r.item_id, r.text) for r in items.collect()]
+    rows += [(900, "Which of the rivers of the old country runs north to the sea all year? The Ob."), (901, "Yes. No.")]
+    docs, want = [], set()
+    for item, text in rows:
+        words = dc.words_of(text)
+        whole = dc.shingles(words)
+        edits = [words[:i] + ["changed"] + words[i + 1 :] for i in range(len(words))]
+        edits += [words[:-2]] if len(words) > 2 else []
+        for edit in edits:
+            if dc.share_found(whole, edit) >= 0.8:
+                want.add((len(docs), item))
+            docs.append((len(docs), "before it " + " ".join(edit) + " behind it"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    item_df = spark.createDataFrame(rows, "item_id long, text string")
+    got = dc.leaks(df, item_df).collect()
+    assert want and want == {(r.doc_id, r.item_id) for r in got}
+    assert {r.answer_overlap for r in got} == {1.0}
+    assert dc.drop_leaks(df, item_df).count() == len(docs) - len({doc for doc, _ in want})
+    # An answer of its own is still checked on its own.
+    real = spark.createDataFrame([(900, rows[-2][1][:-7], "The Ob.")], "item_id long, text string, answer string")
+    near = spark.createDataFrame([(1, rows[-2][1][:-7] + "The Don.")], "doc_id long, text string")
+    assert dc.leaks(near, real, answer_col="answer").count() == 0 and dc.leaks(near, item_df).count() == 1
