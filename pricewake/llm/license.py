@@ -47,7 +47,9 @@ NAMES = [
     ("bsd-4-clause", "bsd", r"(?:4 clause|original|old) bsd(?: licen[sc]e)?"),
     ("0bsd", "0bsd", r"0bsd(?: licen[sc]e)?"),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e"),
-    ("gpl-1.0", "gpl", r"gpl ?(?:version |v)?1(?: 0)?"),
+    ("gpl-1.0", "gpl", r"gpl (?:version |v ?)?1(?: 0)?"),
+    ("gpl-1.0", "gplv1", r"gplv1(?: 0)?"),
+    ("gpl-1.0", "gpl1", r"gpl1(?: 0)?"),
     ("gpl-2.0", "general", r"(?:gnu )?general public licen[sc]e (?:version |v ?)2(?: 0)?"),
     ("gpl-2.0", "gpl", r"(?:gnu )?gpl (?:version |v ?)?2(?: 0)?"),
     ("gpl-2.0", "gplv2", r"(?:gnu )?gplv2"),
@@ -127,6 +129,50 @@ NOTICES = [
     r"(?:spdx )?licen[sc]e(?: identifier)? {}",
 ]
 
+# Short identifiers that are no name of a license where nothing says so: label, keyword, pattern.
+SHORT = [
+    ("mit", "mit", r"mit"),
+    ("mit", "expat", r"expat"),
+    ("apache-1.1", "apache", r"apache 1 1"),
+    ("bsd-4-clause", "bsd", r"bsd (?:4|four) clause"),
+    ("bsd", "bsd", r"bsd"),
+    ("lgpl-2.0", "lgplv2", r"lgplv2(?: 0)?"),
+    ("lgpl-2.1", "lgplv2", r"lgplv2 1"),
+    ("lgpl-3.0", "lgplv3", r"lgplv3(?: 0)?"),
+    ("mpl-1.1", "mpl", r"mpl (?:version |v ?)?1 1"),
+    ("mpl", "mpl", r"mpl"),
+    ("epl-1.0", "epl", r"epl (?:version |v ?)?1(?: 0)?"),
+    ("epl-2.0", "epl", r"epl (?:version |v ?)?2(?: 0)?"),
+    ("epl", "epl", r"epl"),
+    ("edl-1.0", "edl", r"edl (?:version |v ?)?1(?: 0)?"),
+    ("cpl-1.0", "cpl", r"cpl (?:version |v ?)?1(?: 0)?"),
+    ("eupl", "eupl", r"eupl"),
+    ("artistic-1.0", "artistic", r"artistic 1(?: 0)?"),
+    ("artistic-2.0", "artistic", r"artistic 2(?: 0)?"),
+    ("isc", "isc", r"isc"),
+    ("zlib", "zlib", r"zlib"),
+    ("libpng", "libpng", r"libpng(?: 2 0)?"),
+    ("bsl-1.0", "bsl", r"bsl 1 0"),
+    ("psf-2.0", "psf", r"psf 2(?: 0)?"),
+    ("php-3.01", "php", r"php 3 01"),
+    ("ruby", "ruby", r"ruby"),
+    ("postgresql", "postgresql", r"postgresql"),
+    ("openssl", "openssl", r"openssl"),
+    ("ncsa", "ncsa", r"ncsa"),
+    ("ms-pl", "pl", r"ms pl"),
+    ("ms-rl", "rl", r"ms rl"),
+    ("osl-3.0", "osl", r"osl (?:v ?)?3(?: 0)?"),
+    ("afl-3.0", "afl", r"afl (?:v ?)?3(?: 0)?"),
+    ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: (?:version |v ?)?1 1)?"),
+    ("bsl-1.1", "bsl", r"bsl 1 1"),
+    ("bsl-1.1", "busl", r"busl(?: 1 1)?"),
+    ("sspl-1.0", "sspl", r"sspl(?: (?:v ?)?1(?: 0)?)?"),
+    ("elastic-2.0", "elastic", r"elastic 2(?: 0)?"),
+    ("cc-pdm", "pdm", r"cc pdm(?: 1 0)?"),
+]
+# What makes them a notice: the notices with "under" and "license (identifier)".
+SHORT_NOTICE = "(?:" + "|".join(NOTICES[i].format("") for i in (0, 1, 3)) + ")(?:{})"
+
 CC_RIGHTS = {
     "by": r"(?:by|attribution)",
     "by-sa": r"(?:by sa|attribution share ?alike)",
@@ -181,7 +227,7 @@ class Rule:
 
 
 def signature_rules() -> list[Rule]:
-    """All rules in their order: base phrases, notices, versions of one family, names, hints."""
+    """All rules in their order: base phrases, notices, short identifiers, phrases, names, hints."""
     rules = [
         Rule(label, max(phrase.split(), key=lambda w: (w == "cc", len(w))), NAME, phrase, True)
         for phrase, label in BASE.items()
@@ -198,6 +244,7 @@ def signature_rules() -> list[Rule]:
     named = [*NAMES, *cc]
     for template in NOTICES:
         rules += [Rule(label, key, NOTICE, template.format(f"(?:{body})")) for label, key, body in named]
+    rules += [Rule(label, key, NOTICE, SHORT_NOTICE.format(body)) for label, key, body in SHORT]
     rules += [Rule(label, key, level, body) for label, key, level, body in PHRASES if level == NOTICE]
     rules += [Rule(label, key, NAME, body) for label, key, body in named]
     rules += [Rule(label, key, level, body) for label, key, level, body in PHRASES if level != NOTICE]

@@ -94,3 +94,64 @@ def test_awkward(spark):
         if r.doc_id in (3, 4, 5):
             assert (r.n_words, r.n_base, r.first_word, r.base_labels, r.labels, r.score) == (0, 0, None, "", "", 0.0)
     assert lic.scan_licenses(empty(spark)).count() == 0
+
+
+# Identifiers as they stand behind "SPDX-License-Identifier:", one at least for each label of NAMES with one.
+SPDX = {
+    "MIT": "mit", "MIT-0": "mit-0", "Apache-1.1": "apache-1.1", "Apache-2.0": "apache-2.0", "BSD-2-Clause": "bsd-2-clause",
+    "BSD-3-Clause": "bsd-3-clause", "BSD-4-Clause": "bsd-4-clause", "0BSD": "0bsd", "GPL-1.0-only": "gpl-1.0",
+    "GPL-2.0-or-later": "gpl-2.0", "GPL-3.0": "gpl-3.0", "LGPL-2.0-only": "lgpl-2.0", "LGPL-2.1": "lgpl-2.1",
+    "LGPL-3.0-only": "lgpl-3.0", "AGPL-3.0-only": "agpl-3.0", "GFDL-1.3": "gfdl", "MPL-1.1": "mpl-1.1", "MPL-2.0": "mpl-2.0",
+    "EPL-1.0": "epl-1.0", "EPL-2.0": "epl-2.0", "CDDL-1.0": "cddl-1.0", "CPL-1.0": "cpl-1.0", "EUPL-1.1": "eupl-1.1",
+    "EUPL-1.2": "eupl-1.2", "Artistic-1.0": "artistic-1.0", "Artistic-2.0": "artistic-2.0", "ISC": "isc", "Zlib": "zlib",
+    "Libpng": "libpng", "BSL-1.0": "bsl-1.0", "Unlicense": "unlicense", "WTFPL": "wtfpl", "PSF-2.0": "psf-2.0",
+    "PHP-3.01": "php-3.01", "Ruby": "ruby", "PostgreSQL": "postgresql", "OpenSSL": "openssl", "NCSA": "ncsa", "MS-PL": "ms-pl",
+    "MS-RL": "ms-rl", "OSL-3.0": "osl-3.0", "AFL-3.0": "afl-3.0", "OFL-1.1": "ofl-1.1", "ODbL-1.0": "odbl-1.0",
+    "ODC-By-1.0": "odc-by", "PDDL-1.0": "pddl", "BUSL-1.1": "bsl-1.1", "SSPL-1.0": "sspl-1.0", "Elastic-2.0": "elastic-2.0",
+    "CC0-1.0": "cc0-1.0", "CC-PDM-1.0": "cc-pdm", "CC-BY-4.0": "cc-by-4.0", "CC-BY-NC-SA-3.0": "cc-by-nc-sa-3.0",
+}
+# Families without a version, and names that are in no list of short identifiers.
+NO_SPDX = {"apache", "bsd", "gpl", "lgpl", "agpl", "mpl", "epl", "eupl", "edl-1.0", "artistic", "openrail"}
+
+
+def test_short_identifiers(spark):
+    assert {label for label, _, _ in lic.NAMES} <= {*SPDX.values(), *NO_SPDX}
+    forms = ["x\n// SPDX-License-Identifier: {}\ny", "License: {}", "It is licensed under {}.", "released under the {}"]
+    rows = [(form.format(name), label) for name, label in SPDX.items() for form in forms]
+    rows += [("Licensed under GPLv1.", "gpl-1.0"), ("under the gpl1 or not", "gpl-1.0"), ("see GPL v1", "gpl-1.0")]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    for r in lic.scan_licenses(docs).collect():
+        text, label = rows[r.doc_id]
+        assert label in r.labels.split(","), (text, r.labels)
+        assert r.score == 1.0 or label == "gpl-1.0", (text, r.score)
+    plain = ["They met at MIT, with zlib and ruby on postgresql.", "an isc epl bsl ofl"]
+    for r in lic.scan_licenses(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")).collect():
+        assert (r.labels, r.score) == ("", 0.0)
+
+
+def language_of(tree):
+    """Every text of a parsed pattern, repeats taken as few times as allowed and once more."""
+    out = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            part = [chr(arg)]
+        elif op == "BRANCH":
+            part = [x for branch in arg[1] for x in language_of(branch)]
+        elif op == "SUBPATTERN":
+            part = language_of(arg[3])
+        elif op == "MAX_REPEAT":
+            low, high, inner = arg
+            part = [x * n for x in language_of(inner) for n in {low, min(high, low + 1)}]
+        else:
+            assert op == "IN", op
+            part = [chr(a) if str(kind) == "LITERAL" else chr(a[0]) if str(kind) == "RANGE" else "7" for kind, a in arg]
+        out = [a + b for a in out for b in dict.fromkeys(part)]
+    return out
+
+
+def test_every_alternative_holds_its_keyword():
+    """The prefilter tries a rule only where its keyword is a word, so every match must hold it."""
+    for rule in lic.RULES:
+        for text in language_of(re._parser.parse(rule.pattern)):
+            assert rule.keyword in text.split(" "), (rule, text)
