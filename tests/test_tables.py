@@ -372,3 +372,19 @@ def test_only_new_listings_are_judged(spark, tmp_path):
     ingest.alerts.upsert(ingest.alerts.read().withColumn("threshold", F.col("threshold") + 0.1))
     # Changed alerts meet all stored listings again.
     assert ingest.run(posts(spark, SECOND))["matches"] == 2
+
+
+def test_failed_evaluation_is_repeated_over_all_listings(spark, tmp_path, monkeypatch):
+    ingest = with_alerts(spark, job(spark, tmp_path))
+    assert ingest.run(posts(spark, FIRST))["matches"] == 2
+    ingest.alerts.upsert(ingest.alerts.read().withColumn("threshold", F.col("threshold") + 0.1))
+
+    def lost(*_):
+        raise RuntimeError("executors lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "evaluate", lost)
+        with pytest.raises(RuntimeError):
+            ingest.run(posts(spark, SECOND))
+    # The alerts changed before the failed run, so the next one still owes them all stored listings.
+    assert ingest.run(posts(spark, SECOND))["matches"] == 2
