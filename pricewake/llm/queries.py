@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pricewake.llm import (
     decontaminate,
+    jaccard,
     language,
     license,
     lines,
@@ -221,6 +222,36 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM g
 """
 
+
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ \\t\\n\\x0B\\f\\r]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < {jaccard.WIDTH} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {jaccard.WIDTH} + 2),
+      lambda i: array_to_string(list_slice(w, i, i + {jaccard.WIDTH} - 1), ' '))) END AS s
+  FROM w
+), e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+both_ways AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= {jaccard.PERCENT} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(least.b, doc_id)) AS component_id,
+  coalesce(links.n, 0)::BIGINT AS n_links
+FROM s LEFT JOIN least ON doc_id = least.a LEFT JOIN links ON doc_id = links.a
+"""
+
 QUERIES = {
     "op1_exact_topk": (op1_exact_topk, OP1_SQL),
     "op2_temperature_mix": (op2_temperature_mix, OP2_SQL),
@@ -233,4 +264,5 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_simhash": (op9_simhash, None),
     "op10_warc": (op10_warc, OP10_SQL),
+    "op11_jaccard_join": (op11_jaccard_join, OP11_SQL),
 }

@@ -1,0 +1,127 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import SF, awkward, empty, joined
+
+from pricewake.llm import jaccard
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def shingles(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in BLANK:
+        lowered = lowered.replace(c, " ")
+    words = [w for w in lowered.split(" ") if w]
+    return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+
+
+def brute(rows, percent=85):
+    sets = [shingles(text) for _, text in rows]
+    near = [
+        (i, j)
+        for i in range(len(rows))
+        for j in range(i)
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    ]
+    roots, links = joined(range(len(rows)), near), Counter(x for pair in near for x in pair)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[roots[n]] = min(i, least.get(roots[n], i))
+    return Counter((i, len(sets[n]), least.get(roots[n]), links[n]) for n, (i, _) in enumerate(rows))
+
+
+def crowd(seed):
+    """Groups of near copies, chains of them, shared passages and common lines."""
+    random.seed(seed)
+    words = [f"w{i}" for i in range(400)]
+    passage = random.choices(words, k=60)
+    line = random.choices(words, k=12)
+    texts = []
+    for _ in range(25):
+        base = random.choices(words, k=random.choice([3, 4, 5, 20, 60, 150]))
+        if random.random() < 0.4:
+            base += passage
+        for _ in range(random.choice([1, 1, 2, 5, 30])):
+            copy = list(base)
+            for _ in range(random.choice([0, 0, 1, 2, 4])):
+                copy[random.randrange(len(copy))] = random.choice(words)
+            copy += line if random.random() < 0.2 else []
+            texts.append(" ".join(copy))
+            base = copy if random.random() < 0.2 else base
+    texts += [" ".join(line)] * 5 + [None, "", "  ", "A b", "a B", "one", "x\x0by z  q"]
+    return list(enumerate(texts))
+
+
+SMALL = [{}, {"hot_tokens": 0}, {"hot_tokens": 40, "list_rows": 4, "block_tokens": 300, "cell_tokens": 200}]
+
+
+@pytest.mark.parametrize("sizes", SMALL)
+def test_like_brute_force(spark, sizes):
+    rows = crowd(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_classes(docs.repartition(3), **sizes)
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+
+
+def test_standard_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = jaccard.jaccard_classes(docs).collect()
+    assert Counter(map(tuple, got)) == brute([tuple(r) for r in docs.collect()])
+    assert any(r.component_id != r.doc_id for r in got)
+
+
+def test_other_threshold_and_width(spark):
+    rows = crowd(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_classes(docs, percent=60)
+    assert Counter(map(tuple, got.collect())) == brute(rows, 60)
+
+
+def test_awkward_documents(spark):
+    docs = awkward(spark)
+    got = jaccard.jaccard_classes(docs)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert Counter(map(tuple, got.collect())) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert jaccard.jaccard_classes(empty(spark)).count() == 0
+
+
+def test_pairs_of_lists_like_all_pairs():
+    """No pair that can be linked is skipped, and blocks of very different size are."""
+    rng = np.random.default_rng(2)
+    n = 300
+    sizes = rng.integers(5, 60, n)
+    rest = sizes - rng.integers(0, 9, n)
+    columns = {
+        "token": np.sort(rng.integers(0, 4, n)),
+        "cell": np.zeros(n, np.int64),
+        "side": np.full(n, -1),
+        "block": rng.permutation(n).astype(np.int64),
+        "n_lo": sizes,
+        "n_hi": sizes,
+        "rest": rest,
+    }
+    order = np.lexsort((rest, sizes, columns["token"]))
+    columns = {name: values[order].astype(np.int64) for name, values in columns.items()}
+    want = set()
+    for i in range(n):
+        for j in range(i):
+            x, y = ({k: int(v[p]) for k, v in columns.items()} for p in (i, j))
+            high = max(jaccard.need(x["n_lo"], 85), jaccard.need(y["n_lo"], 85))
+            if x["token"] == y["token"] and min(x["n_lo"], y["n_lo"], x["rest"], y["rest"]) >= high:
+                want.add((min(x["block"], y["block"]), max(x["block"], y["block"])))
+    got = [(int(a), int(b)) for found in jaccard.skip_pairs(columns, 85, most=50) for a, b in zip(*found[:2])]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) < n * n / 16
+
+
+def test_answers_from_the_answers_before():
+    rng = np.random.default_rng(7)
+    base = rng.choice(1000, 80, replace=False)
+    sets = [np.unique(np.concatenate([base[i % 5 :], rng.integers(0, 2000, 6)])).astype(np.uint64) for i in range(40)]
+    lists = jaccard.Lists(sets[:20])
+    for probe, counts in zip(sets, lists.overlaps(sets)):
+        assert counts.tolist() == [len(np.intersect1d(probe, s)) for s in sets[:20]]
