@@ -13,6 +13,7 @@ from pricewake.llm import (
     license,
     lines,
     mixing,
+    negatives,
     shards,
     simhash,
     tokens,
@@ -23,6 +24,9 @@ from pricewake.llm import (
 SHARDS = 40
 ENTROPY = 0.95
 QUERIES_MOD = 20
+ANCHORS_MOD = 100
+MOVED_MOD = 7
+LABELS = 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -252,6 +256,36 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(least.b, doc
 FROM s LEFT JOIN least ON doc_id = least.a LEFT JOIN links ON doc_id = links.a
 """
 
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % MOVED_MOD == 0, (label + 1) % LABELS).otherwise(label)
+    vectors = negatives.labelled_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", moved, 256.0)
+    return negatives.mine(vectors, vectors.filter(F.col("id") % ANCHORS_MOD == 0))
+
+
+OP13_SQL = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % {MOVED_MOD} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {ANCHORS_MOD} = 0
+), p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {negatives.POSITIVES}
+), n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+    AND {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n
+WHERE rank <= {negatives.NEGATIVES}
+"""
+
 QUERIES = {
     "op1_exact_topk": (op1_exact_topk, OP1_SQL),
     "op2_temperature_mix": (op2_temperature_mix, OP2_SQL),
@@ -265,4 +299,5 @@ QUERIES = {
     "op9_simhash": (op9_simhash, None),
     "op10_warc": (op10_warc, OP10_SQL),
     "op11_jaccard_join": (op11_jaccard_join, OP11_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
