@@ -42,8 +42,8 @@ COUNT_TOKENS = 1 << 22
 COUNT_LEAST = 3
 # Rows of a list, tokens of a block of a class, tokens compared with it in one cell.
 LIST = 4096
-BLOCK_TOKENS = 1 << 18
-CELL_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 14
+CELL_TOKENS = 1 << 15
 MEMO = 1 << 20
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
