@@ -14,6 +14,7 @@ from pricewake.llm import (
     lines,
     mixing,
     negatives,
+    runs,
     shards,
     simhash,
     tokens,
@@ -257,6 +258,57 @@ FROM s LEFT JOIN least ON doc_id = least.a LEFT JOIN links ON doc_id = links.a
 """
 
 
+def _planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document by the hash of its id repeats its words from one place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit("[^ \\t\\n\\x0B\\f\\r]+"), F.lit(0))
+    n = F.size("words")
+    g = F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    again = F.array_join(
+        F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + F.pmod(i - F.col("a"), F.col("p"))))),
+        " ",
+    )
+    tenth = docs.select("doc_id", "text").withColumn("words", F.when(h % 10 == 0, words))
+    return (
+        tenth.withColumn("a", F.when(n > 0, a))
+        .withColumn("p", F.when(n > 0, p))
+        .select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_planted_runs(_table(spark, sf_dir, "documents")))
+    # The greatest exact exponent: fractions are compared crosswise.
+    def above(x, y):
+        return (
+            F.when(x.length * y.period != y.length * x.period, x.length * y.period > y.length * x.period)
+            .when(x.start != y.start, x.start < y.start)
+            .otherwise(x.period < y.period)
+        )
+
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda kept, run: F.when(above(run, kept), run).otherwise(kept))
+    line = F.transform("runs", lambda run: F.concat_ws(",", run.start, run.length, run.period))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     moved = F.when(F.col("vec_id") % MOVED_MOD == 0, (label + 1) % LABELS).otherwise(label)
@@ -299,5 +351,6 @@ QUERIES = {
     "op9_simhash": (op9_simhash, None),
     "op10_warc": (op10_warc, OP10_SQL),
     "op11_jaccard_join": (op11_jaccard_join, OP11_SQL),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
