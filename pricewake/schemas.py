@@ -78,6 +78,8 @@ ALERT_EVENTS = T.StructType(
         ).fields,
     ]
 )
+# What each alert was last judged with; ``target_price`` is null where it cannot match.
+ALERT_TARGETS = _schema("alert_id string, alert_type string, target string, target_price double")
 
 # Older extracts use other names for the same fields.
 LISTING_RENAMES = {

@@ -1,0 +1,154 @@
+"""Judging again what has moved, and the filter of key words."""
+
+import random
+import re
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+from test_tables import FIRST, SECOND, job, posts, with_alerts
+
+from pricewake import schemas
+from pricewake.operators import alerts as A
+from pricewake.operators import containment
+from pricewake.operators.membership import key_filter
+from pricewake.streaming import ingest as J
+
+PRICED = "alert_id string, email string, alert_type string, target_name string, threshold double, " \
+    "target string, target_price double, skipped string"
+
+
+def priced(spark, rows):
+    """(alert_id, type, target, price) as ``priced_alerts`` has them."""
+    return spark.createDataFrame([(i, "e", kind, t, None, t, price, None) for i, kind, t, price in rows], PRICED)
+
+
+@pytest.mark.parametrize("most_bits", [10, 23])
+def test_key_filter_loses_no_key(spark, most_bits):
+    words = spark.range(3000).select(F.concat(F.lit("w"), "id").alias("word"))
+    keys = words.filter("hash(word) % 10 = 0").union(spark.sql("SELECT CAST(NULL AS string)"))
+    may_hold = key_filter(keys, "word", most_bits)
+    passed = {r.word for r in words.union(spark.sql("SELECT CAST(NULL AS string)")).filter(may_hold(F.col("word"))).collect()}
+    known = {r.word for r in keys.collect()} - {None}
+    assert known <= passed and None not in passed
+    if most_bits == 23:
+        assert len(passed) < len(known) + 100
+    none = key_filter(keys.limit(0), "word")
+    assert words.filter(none(F.col("word"))).count() == 0
+
+
+def test_other_words_are_not_shuffled(spark):
+    """Of ten thousand words one is a key: the filter stands below the exchange, and few words pass it."""
+    df = spark.range(10_000).selectExpr("id", "concat('w', id, ' v', id, IF(id % 1000 = 0, ' creed', '')) AS haystack")
+    wanted = spark.createDataFrame([("w17 v17",), ("creed",)], "target string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = containment.contains_join(df, wanted)
+        assert {(r.id, r.target) for r in found.collect()} == {(17, "w17 v17"), *((i * 1000, "creed") for i in range(10))}
+        explain = spark.sparkContext._jvm.PythonSQLUtils.explainString
+        plan = explain(found._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Read from the top, the filter on words stands between the explode and the exchange above it.
+    tree = plan[: plan.index("Generate")].splitlines()
+    above = [re.sub("[^A-Za-z]", "", line) for line in tree]
+    assert "Filter" in above[max(i for i, node in enumerate(above) if node == "Exchange") :]
+    assert re.search(r"Filter\n[^\n]*\nCondition : [^\n]*Subquery", plan)
+
+
+def test_moves(spark):
+    before = priced(
+        spark,
+        [("same", "DEAL", "a", 5.0), ("rose", "DEAL", "a", 5.0), ("fell", "DEAL", "a", 5.0), ("rare", "RARE", "a", None),
+         ("other", "DEAL", "a", 5.0), ("kind", "DEAL", "a", 5.0), ("lost", "DEAL", "a", 5.0), ("back", "DEAL", "a", None)],
+    )
+    after = priced(
+        spark,
+        [("same", "DEAL", "a", 5.0), ("rose", "DEAL", "a", 7.0), ("fell", "DEAL", "a", 4.0), ("rare", "RARE", "a", None),
+         ("other", "DEAL", "b", 5.0), ("kind", "RARE", "a", None), ("lost", "DEAL", "a", None), ("back", "DEAL", "a", 5.0),
+         ("new", "RARE", "c", None), ("odd", "ELSE", "c", 1.0)],
+    )
+    got = {r.alert_id: r.from_price for r in A.target_moves(before, after).collect()}
+    assert got == {"rose": 5.0, "other": None, "kind": None, "back": None, "new": None}
+
+
+def test_moved_matches_are_the_difference(spark):
+    random.seed(2)
+    words = ["creed", "aventus", "sauvage", "dior", "oud"]
+    rows = [
+        (f"k{i}", random.choice(words), random.choice(words), random.choice([None, *map(float, range(1, 30))]), "u",
+         " ".join(random.choices(words, k=3)), "t")
+        for i in range(300)
+    ]
+    names = "listing_key string, brand string, frag_name string, price_usd double, post_url string, raw_text string, post_title string"
+    listings = spark.createDataFrame(rows, names)
+
+    def some():
+        return [(str(i), random.choice(["DEAL", "DEAL", "RARE"]), random.choice(words), random.choice([None, 5.0, 9.0, 20.0]))
+                for i in range(12) if random.random() < 0.9]
+
+    for _ in range(3):
+        before, after = priced(spark, some()), priced(spark, some())
+
+        def pairs(df):
+            return {(r.listing_key, r.alert_id) for r in df.collect()}
+
+        old, new = pairs(A.match_alerts(listings, before)), pairs(A.match_alerts(listings, after))
+        moved = pairs(A.match_moves(listings, A.target_moves(before, after)))
+        # An alert of another target or type sees all listings, also those that it matched before.
+        assert new - old <= moved <= new
+
+
+def test_a_moved_price_probes_its_alert_only(spark, tmp_path, monkeypatch):
+    ingest = with_alerts(spark, job(spark, tmp_path))
+    ingest.targets = J.targets_table(spark, str(tmp_path / "targets"))
+    assert ingest.run(posts(spark, FIRST))["matches"] == 2
+    probed = []
+
+    def spied(texts, targets, **options):
+        probed.append((texts.count(), sorted(r.target for r in targets.select("target").collect())))
+        return containment.contains_join(texts, targets, **options)
+
+    quiet = [("[WTS] z", "nothing", "Sales:1", "u9", "2024-01-03")]
+    with monkeypatch.context() as patched:
+        patched.setattr(A, "contains_join", spied)
+        ingest.run(posts(spark, quiet))
+        # Baselines against the index, and the batch; no stored listing is looked at.
+        assert probed[1:] == [(0, ["aventus", "sauvage"])]
+        probed.clear()
+        at = datetime(2024, 1, 1)
+        ingest.index.upsert(
+            spark.createDataFrame([("DIOR", "SAUVAGE", None, 90.0, None, 0.5, 1000.0, 10.0, 5, -10.0)], schemas.MARKET_INDEX)
+        )
+        dearer = ingest.run(posts(spark, quiet))
+        stored = [r.price_usd for r in ingest.listings.read().collect()]
+        between = sum(1 for p in stored if p is not None and 70.0 < p <= 990.0)
+        assert probed[1:] == [(between, ["sauvage"]), (0, ["aventus", "sauvage"])] and between
+        # An alert that was off has to see everything once it is back.
+        probed.clear()
+        off = spark.createDataFrame([("1", "a@x", "RARE", "aventus", None, at, False)], schemas.ALERTS)
+        ingest.alerts.upsert(off)
+        ingest.run(posts(spark, quiet))
+        ingest.alerts.upsert(off.withColumn("active", F.lit(True)))
+        probed.clear()
+        ingest.run(posts(spark, quiet))
+        assert probed[1] == (len(stored), ["aventus"])
+    other = with_alerts(spark, job(spark, tmp_path / "full", full=True))
+    other.index.upsert(ingest.index.read())
+    other.run(posts(spark, FIRST))
+    keys = {r.event_key for r in ingest.events.read().collect()}
+    assert dearer["alerts_checked"] == 2 and keys == {r.event_key for r in other.events.read().collect()}
+
+
+def test_failed_run_with_targets_is_repeated(spark, tmp_path, monkeypatch):
+    ingest = with_alerts(spark, job(spark, tmp_path))
+    ingest.targets = J.targets_table(spark, str(tmp_path / "targets"))
+
+    def lost(*_):
+        raise RuntimeError("executors lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(ingest, "_queue", lost)
+        with pytest.raises(RuntimeError):
+            ingest.run(posts(spark, FIRST))
+    assert ingest.run(posts(spark, SECOND))["matches"] == 2
