@@ -11,6 +11,7 @@ from pricewake.operators import cleaning as C
 from pricewake.operators import similarity, stats
 from pricewake.operators.keyed import first_by
 from pricewake.plans import browse, market
+from pricewake.session import scratch_path, written
 
 DIGITS = 4
 
@@ -228,6 +229,51 @@ weighted_stats AS (
     any_value(n) AS listing_count, any_value(w) AS total_sales_volume_proxy
   FROM weighted JOIN means USING (frag_name) GROUP BY frag_name)
 """
+# Listings before, after a first and after a second batch of changes: new ones, edited prices, items, fills and
+# sellers, and some that are gone.
+_MOMENT_STEPS = {
+    0: ("size <> 3", {}),
+    1: ("size <> 5", {"price": "price * 1.5", "flair": "CASE WHEN size = 7 THEN 'Sales:9' ELSE flair END"}),
+    2: ("size <> 3", {"price": "price * 2", "frag_name": "CASE WHEN size = 7 THEN frag_name || ' X' ELSE frag_name END"}),
+}
+
+
+def _step_columns(step):
+    changed = _MOMENT_STEPS[step][1]
+    names = ("listing_key", "flair", "frag_name", "price", "fill_percent", "size")
+    return [f"{changed[c]} AS {c}" if c in changed else c for c in names]
+
+
+def maintained_moments(spark, sf):
+    """Statistics kept as sums: a start, then two batches of changes; no listing that stayed is read again."""
+    listings = I.listings(spark, sf)
+    states = [listings.filter(keep).selectExpr(*_step_columns(n)) for n, (keep, _) in _MOMENT_STEPS.items()]
+    moments = market.moments_table(spark, scratch_path(spark, "moments"))
+    market.apply_changes(moments, states[0].limit(0), states[0])
+    for before, after in zip(states, states[1:]):
+        fields = F.struct("flair", "frag_name", "price", "fill_percent")
+        same = before.select("listing_key", fields.alias("fields")).intersect(
+            after.select("listing_key", fields.alias("fields"))
+        )
+        market.apply_changes(
+            moments, before.join(same, "listing_key", "left_anti"), after.join(same, "listing_key", "left_anti")
+        )
+    return _rounded(
+        market.maintained_stats(moments), "weighted_avg_price", "weighted_std_dev", "total_sales_volume_proxy"
+    )
+
+
+MAINTAINED_MOMENTS = f"""
+WITH {I.LISTINGS_SQL.replace("listings AS", "listings_as_posted AS", 1)},
+listings AS (
+  SELECT {", ".join(_step_columns(2))} FROM listings_as_posted WHERE {_MOMENT_STEPS[2][0]}),
+{WEIGHTED_ROWS_SQL}, {WEIGHTED_STATS_SQL}
+SELECT frag_name, {S.rounded("weighted_avg_price")} AS weighted_avg_price,
+  {S.rounded("weighted_std_dev")} AS weighted_std_dev, listing_count,
+  {S.rounded("total_sales_volume_proxy")} AS total_sales_volume_proxy
+FROM weighted_stats
+"""
+
 WEIGHTED_STATS = f"""
 WITH {I.LISTINGS_SQL}, {WEIGHTED_ROWS_SQL}, {WEIGHTED_STATS_SQL}
 SELECT frag_name, {S.rounded("weighted_avg_price")} AS weighted_avg_price,
@@ -405,6 +451,29 @@ SELECT {_ROUND_INDEX} FROM index_rows
 QUALIFY row_number() OVER (PARTITION BY reddit_name ORDER BY brand DESC) = 1
 """
 
+
+
+def index_publish_counts(spark, sf):
+    """Rows new or changed by three publications through the table: all, none, those of dearer items."""
+    index = written(catalogue_index(spark, sf), "index")
+    table = market.index_table(spark, scratch_path(spark, "index"))
+    dearer = index.withColumn(
+        "weighted_avg_price", F.col("weighted_avg_price") * F.when(F.col("reddit_name").contains("R"), 2).otherwise(1)
+    )
+    counts = [market.publish(table, rows) for rows in (index, index, dearer)]
+    return spark.createDataFrame(list(enumerate(counts)), "publication int, published long")
+
+
+INDEX_PUBLISH_COUNTS = f"""
+{CATALOGUE_INDEX_CHAIN},
+published AS MATERIALIZED (
+  SELECT * FROM index_rows
+  QUALIFY row_number() OVER (PARTITION BY reddit_name ORDER BY brand DESC) = 1)
+SELECT 0 AS publication, count(*) AS published FROM published
+UNION ALL SELECT 1, 0
+UNION ALL SELECT 2, count(*) FROM published WHERE contains(reddit_name, 'R') AND weighted_avg_price <> 0
+"""
+
 _LIST_ORDER = "weighted_price_diff ASC NULLS FIRST, reddit_name, brand"
 _LISTED = ", ".join(
     f"{S.rounded(c)} AS {c}" if c in _INDEX_NUMBERS else c for c in browse.LISTED
@@ -501,6 +570,8 @@ QUERIES = {
     "retail_clean": (retail_clean, RETAIL_CLEAN),
     "plain_stats": (plain_stats, PLAIN_STATS),
     "seller_weight": (seller_weight, SELLER_WEIGHT),
+    "maintained_moments": (maintained_moments, MAINTAINED_MOMENTS),
+    "index_publish_counts": (index_publish_counts, INDEX_PUBLISH_COUNTS),
     "weighted_stats": (weighted_stats, WEIGHTED_STATS),
     "fuzzy_match": (fuzzy_match, FUZZY_MATCH),
     "best_scores": (best_scores, BEST_SCORES),

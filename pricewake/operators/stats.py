@@ -57,25 +57,24 @@ def _anchor(value: Column) -> Column:
     return F.coalesce(F.signum(value) * F.pow(F.lit(2.0), step), F.lit(0.0))
 
 
-def weighted_moments(
+def moment_cells(
     rows: DataFrame,
     keys: Sequence[str],
     value: str = "normalized_price",
     weight: str = "weight",
 ) -> DataFrame:
-    """Weighted mean and population deviation in one pass over the rows.
+    """(keys, anchor, n, w, s1, s2): sums per key and anchor, which add up over any parts of the rows.
 
     Squares of raw prices would cancel badly, and a second pass would read and
     shuffle every row again. Instead each row is measured from an anchor that
     its own price determines, sums are kept per (key, anchor) and combined
-    before the shuffle. Anchors of one key are then merged. A key with a third
-    of all rows shrinks to a few hundred sums in every map task.
+    before the shuffle. A key with a third of all rows shrinks to a few hundred sums in every map task.
     """
-    v, w, anchor = F.col(value), F.col(weight), F.col("_anchor")
+    v, w, anchor = F.col(value), F.col(weight), F.col("anchor")
     off = v - anchor
-    cells = (
-        rows.withColumn("_anchor", _anchor(v))
-        .groupBy(*keys, "_anchor")
+    return (
+        rows.withColumn("anchor", _anchor(v))
+        .groupBy(*keys, "anchor")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(w).alias("w"),
@@ -83,8 +82,12 @@ def weighted_moments(
             F.sum(w * off * off).alias("s2"),
         )
     )
+
+
+def stats_of_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weighted mean, population deviation, count and weight of every key from its ``moment_cells``."""
     # Prices span at most a few thousand anchors, so this list is bounded.
-    cell = F.struct("_anchor", "w", "s1", "s2")
+    cell = F.struct("anchor", "w", "s1", "s2")
     merged = cells.groupBy(*keys).agg(
         F.sum("n").alias("listing_count"),
         F.array_sort(F.collect_list(cell)).alias("cells"),
@@ -94,12 +97,12 @@ def weighted_moments(
         return F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + term(c))
 
     merged = merged.withColumn("total_weight", total(lambda c: c["w"])).withColumn(
-        "mean", total(lambda c: c["_anchor"] * c["w"] + c["s1"]) / F.col("total_weight")
+        "mean", total(lambda c: c["anchor"] * c["w"] + c["s1"]) / F.col("total_weight")
     )
     squares = total(
         lambda c: c["s2"]
-        - 2 * (F.col("mean") - c["_anchor"]) * c["s1"]
-        + (F.col("mean") - c["_anchor"]) * (F.col("mean") - c["_anchor"]) * c["w"]
+        - 2 * (F.col("mean") - c["anchor"]) * c["s1"]
+        + (F.col("mean") - c["anchor"]) * (F.col("mean") - c["anchor"]) * c["w"]
     )
     variance = F.greatest(squares / F.col("total_weight"), F.lit(0.0))
     return merged.select(
@@ -111,5 +114,45 @@ def weighted_moments(
     )
 
 
+def weighted_moments(
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: str = "normalized_price",
+    weight: str = "weight",
+) -> DataFrame:
+    """Weighted mean and population deviation in one pass over the rows."""
+    return stats_of_cells(moment_cells(rows, keys, value, weight), keys)
+
+
+SUMS = ("n", "w", "s1", "s2")
+
+
+def signed_cells(
+    before: DataFrame,
+    after: DataFrame,
+    keys: Sequence[str],
+    value: str = "normalized_price",
+    weight: str = "weight",
+) -> DataFrame:
+    """What a batch of changes does to ``moment_cells``: rows as they were go out, rows as they are come in.
+
+    An insert has no row in ``before``, a deletion none in ``after``, an edit one in each.
+    """
+    came = moment_cells(after, keys, value, weight)
+    gone = moment_cells(before, keys, value, weight).withColumns({c: -F.col(c) for c in SUMS})
+    return came.unionByName(gone).groupBy(*keys, "anchor").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def merge_cells(cells: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored cells with signed ones added; cells without a row left have all sums zero.
+
+    What a cell holds lies within a sixteenth of an octave of its anchor, so sums of rows that went leave
+    rounding of the last digits only, and nothing once the cell is empty.
+    """
+    sums = cells.unionByName(changes).groupBy(*keys, "anchor").agg(*[F.sum(c).alias(c) for c in SUMS])
+    full = F.col("n") > 0
+    return sums.withColumns({c: F.when(full, F.col(c)).otherwise(F.col(c) * 0) for c in SUMS})
+
+
 def weighted_stats(listings: DataFrame) -> DataFrame:
     return weighted_moments(weighted_rows(listings), ["frag_name"])

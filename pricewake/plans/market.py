@@ -9,7 +9,15 @@ from pricewake import schemas
 from pricewake.operators.cleaning import clean_retail, full_bottles
 from pricewake.operators.keyed import latest_by
 from pricewake.operators.similarity import MIN_SCORE, match_retail
-from pricewake.operators.stats import plain_stats, weighted_stats
+from pricewake.operators.stats import (
+    merge_cells,
+    plain_stats,
+    signed_cells,
+    stats_of_cells,
+    weighted_rows,
+    weighted_stats,
+)
+from pricewake.session import written
 from pricewake.sources.files import without_nan
 from pricewake.sources.tables import KeyedTable
 
@@ -58,3 +66,42 @@ def publish(table: KeyedTable, index: DataFrame) -> int:
     return counts["inserted"] + counts["modified"]
 
 
+# ---- an index kept up to date without reading all listings ------------------------
+
+ITEM = ["frag_name"]
+
+
+def moments_table(spark: SparkSession, path: str, **options) -> KeyedTable:
+    return KeyedTable(spark, path, schemas.MOMENTS, [*ITEM, "anchor"], **options)
+
+
+def apply_changes(moments: KeyedTable, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Add a batch of changed listings to the stored sums; returns the items it touched.
+
+    ``before`` has the listings of the batch as they were stored (those that were), ``after`` as they
+    are now (those that are left), in batch names. Work and writing follow the batch: listings that did not change are
+    not read. A batch is to be applied once; ``before`` equal to ``after`` changes nothing.
+    """
+    changes = written(
+        signed_cells(weighted_rows(before), weighted_rows(after), ITEM).filter(
+            (F.col("n") != 0) | (F.col("w") != 0) | (F.col("s1") != 0) | (F.col("s2") != 0)
+        ),
+        "moment-changes",
+    )
+    stored = moments.read().join(changes.select(*ITEM, "anchor"), [*ITEM, "anchor"], "left_semi")
+    moments.upsert(merge_cells(stored, changes, ITEM))
+    return changes.select(*ITEM).distinct()
+
+
+def maintained_stats(moments: KeyedTable, items: DataFrame | None = None) -> DataFrame:
+    """``weighted_stats`` of all items, or of some, from the stored sums."""
+    cells = moments.read().filter(F.col("n") > 0)
+    if items is not None:
+        cells = cells.join(items, ITEM, "left_semi")
+    return stats_of_cells(cells, ITEM)
+
+
+def refresh_index(index: KeyedTable, matched: DataFrame, moments: KeyedTable, items: DataFrame) -> int:
+    """Publish the index rows of some items anew; returns how many are new or changed."""
+    touched = matched.join(items.withColumnRenamed("frag_name", "reddit_name"), "reddit_name", "left_semi")
+    return publish(index, weighted_index(touched, maintained_stats(moments, items)))

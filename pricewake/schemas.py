@@ -80,6 +80,8 @@ ALERT_EVENTS = T.StructType(
 )
 # What each alert was last judged with; ``target_price`` is null where it cannot match.
 ALERT_TARGETS = _schema("alert_id string, alert_type string, target string, target_price double")
+# Sums from which the weighted statistics of an item follow; empty cells have n = 0.
+MOMENTS = _schema("frag_name string, anchor double, n bigint, w double, s1 double, s2 double")
 
 # Older extracts use other names for the same fields.
 LISTING_RENAMES = {
