@@ -347,7 +347,7 @@ def best_scores(spark, sf):
         F.upper(F.concat_ws(" ", "p_type", "p_name", "p_brand")).alias("product"),
         F.col("p_partkey").alias("ord"),
     )
-    best = similarity.best_matches(names.distinct(), products, slice_size=256)
+    best = similarity.best_matches(names.distinct(), products)
     return _rounded(best.drop("brand"), "match_score")
 
 
@@ -364,6 +364,21 @@ SELECT reddit_name AS clean_name, jomashop_name AS product, jomashop_url AS ord,
 FROM matched
 """
 
+
+def crowded_match(spark, sf):
+    """As many different names as parts in one brand, against all parts; too many pairs for SQL."""
+    parts = I.table(spark, sf, "part")
+    names = parts.select(
+        F.lit("ALL").alias("brand"), F.upper(F.concat_ws(" ", "p_name", "p_brand", "p_partkey")).alias("clean_name")
+    )
+    products = parts.select(
+        F.lit("ALL").alias("brand"),
+        F.upper(F.concat_ws(" ", "p_type", "p_name", "p_brand", "p_partkey")).alias("product"),
+        F.col("p_partkey").alias("ord"),
+    )
+    return _rounded(similarity.best_matches(names, products).drop("brand"), "match_score")
+
+
 # ---- index -----------------------------------------------------------------------------
 
 _INDEX_NUMBERS = (
@@ -575,6 +590,7 @@ QUERIES = {
     "weighted_stats": (weighted_stats, WEIGHTED_STATS),
     "fuzzy_match": (fuzzy_match, FUZZY_MATCH),
     "best_scores": (best_scores, BEST_SCORES),
+    "crowded_match": (crowded_match, None),
     "index_publish": (index_publish, INDEX_PUBLISH),
     "index_listing": (index_listing, INDEX_LISTING),
     "search": (search, SEARCH),
