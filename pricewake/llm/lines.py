@@ -1,14 +1,16 @@
 """Removal of repeated stretches of lines, in DataFrame expressions only.
 
-A text is cut into chunks of lines at places its own lines choose: behind a line where the
-rolling hash over its and the line before it is a multiple of ``divisor``. An inserted line
-moves no boundary but those next to it, so the same passage gives the same chunks wherever
-it stands. A chunk of several lines that stands elsewhere too is removed from all places but the
-first. Chunks are first counted by hash; texts of repeated hashes only are then compared in full.
-
-Chunks miss what lies across their boundaries, which is most of short passages. ``drop_repeated_passages``
-has no boundaries: every window of ``min_lines`` lines that are not blank is an anchor, one at each line, and
-the windows of a repeated passage overlap to the whole of it.
+A text is cut at places its own lines choose: two lines that follow each other (blank ones between them left out)
+are a boundary unless the rolling hash over their hashes is a multiple of ``divisor``. What stands around a boundary, its
+two lines and the blank ones between them, is the smallest multi-line chunk. It depends on nothing
+else, so an inserted line moves no chunk but those it parts, and the same passage gives the same chunks wherever
+it stands.
+
+A chunk that stands elsewhere too is grown: the two lines next to it that are no boundary join in if they
+are repeated as well. So a repeated passage of any length goes from its first line to its last, at all places but the
+first. Chunks are counted by hash; before a line goes, its chunk's bytes are compared with those at the first place.
+
+``drop_repeated_passages`` has no boundaries: every window of ``min_lines`` lines that are not blank counts.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewake.operators.membership import key_filter
 from pricewake.session import written
 
-DIVISOR = 4
+# One pair of lines in so many is no boundary.
+DIVISOR = 64
 MIN_LINES = 2
+# The rows of one repeated chunk meet its first place in so many tasks.
+SALTS = 32
 _MODULUS = (1 << 31) - 1
 
 
@@ -28,41 +34,45 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(F.trim(line).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def line_chunks(lines: Column, divisor: int = DIVISOR) -> Column:
-    """The lines as an array of arrays of lines, cut at content-defined places."""
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a one-element array and a lambda give it a name."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def cut(hashes: Column) -> Column:
-        last = F.size(hashes) - 1
 
-        def ends_here(i: Column) -> Column:
-            before = F.when(i > 0, F.element_at(hashes, F.greatest(i, F.lit(1)))).otherwise(F.lit(0))
-            rolled = (before * 31 + F.element_at(hashes, i + 1)) % _MODULUS
-            return (i == last) | (rolled % divisor == 0)
+def _stretch(lines: Column, start: Column, stop: Column) -> Column:
+    return F.array_join(F.slice(lines, start + 1, stop - start + 1), "\n")
 
-        return F.filter(F.sequence(F.lit(0), last), ends_here)
 
-    def slices(ends: Column) -> Column:
-        def one(end: Column, k: Column) -> Column:
-            start = F.when(k > 0, F.element_at(ends, F.greatest(k, F.lit(1))) + 1).otherwise(F.lit(0))
-            return F.slice(lines, start + 1, end - start + 1)
+def line_chunks(lines: Column, divisor: int = DIVISOR) -> Column:
+    """(place, start, stop, hash, boundary) of every two lines that follow each other."""
 
-        return F.transform(ends, one)
+    def of(lines: Column) -> Column:
+        def pairs(filled: Column) -> Column:
+            def pair(first: Column, k: Column) -> Column:
+                second = F.element_at(filled, k + 2)
+                rolled = (first["hash"] * 31 + second["hash"]) % _MODULUS
+                return F.struct(
+                    k.alias("place"),
+                    first["at"].alias("start"),
+                    second["at"].alias("stop"),
+                    F.xxhash64(_stretch(lines, first["at"], second["at"])).alias("hash"),
+                    (rolled % divisor != 0).alias("boundary"),
+                )
 
-    # A one-element array and a lambda give a value a name, so that it is computed once.
-    hashes = F.transform(lines, line_hash)
-    ends = F.transform(F.array(hashes), cut)
-    return F.element_at(F.transform(ends, slices), 1)
+            return F.transform(F.slice(filled, 1, F.greatest(F.size(filled) - 1, F.lit(0))), pair)
 
+        hashed = F.transform(
+            lines, lambda line, i: F.when(F.trim(line) != "", F.struct(i.alias("at"), line_hash(line).alias("hash")))
+        )
+        return _named(F.filter(hashed, lambda line: line.isNotNull()), pairs)
+
+    return _named(lines, of)
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str, divisor: int) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text).alias("text_hash"),
-        F.isnull(text).alias("no_text"),
-        line_chunks(lines, divisor).alias("chunks"),
-    )
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """The places whose hash stands at several places."""
+    several = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("hash")
+    return places.join(several, "hash", "left_semi")
 
 
 def drop_repeated_lines(
@@ -70,55 +80,109 @@ def drop_repeated_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     divisor: int = DIVISOR,
-    min_lines: int = MIN_LINES,
 ) -> DataFrame:
     """One row per document: id, ``n_lines``, ``n_chunks``, ``removed_chunks``, ``removed_lines``,
-    ``text`` without the removed chunks.
-
-    A chunk is removed when it has at least ``min_lines`` lines that are not blank and equal bytes stand
-    in another place; of all places the first by id, then by place, keeps it. A null text stays null
-    and has no lines; an empty text is one line. Rows equal in id and text are one document and are
-    treated alike; ids that are null come first. Other columns are not read.
+    ``text`` without the removed lines.
+
+    A chunk is removed when equal bytes stand in another place; of all places the first by id, then by line,
+    keeps it. A null text stays null and has no lines; an empty text is one line. Rows equal in id and text
+    are one document and are treated alike; ids that are null come first. Other columns are not read. Work on a text
+    grows with its lines, however long it is. Should two different chunks share a 64-bit hash, the bytes
+    tell them apart and the later one stays. Whole texts are shuffled only of documents that hold the first
+    place of a repeated chunk or lose one; the rest is places and hashes. Steps are written below ``spark.checkpoint.dir``.
     """
-    chunked = _chunked(docs, id_col, text_col, divisor)
-    places = chunked.filter(~F.col("no_text")).select(
-        "id", "text_hash", F.posexplode("chunks").alias("place", "lines")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = rows.withColumn("doc", F.xxhash64("id", "text_hash"))
+    lines = F.split("text", "\n", -1)
+    places = rows.filter(F.col("text").isNotNull()).select(
+        "doc", "id", "text_hash", F.inline(line_chunks(lines, divisor))
     )
-    filled = F.size(F.filter("lines", lambda line: F.trim(line) != ""))
-    several = places.filter(filled >= min_lines).select(
-        "id", "text_hash", "place", F.array_join("lines", "\n").alias("chunk")
+    anchors = written(_repeated(places.filter("boundary")), "repeated-chunks")
+    # The neighbours of repeated chunks that are no boundary themselves.
+    beside = anchors.select("doc", F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"))
+    grown = _repeated(places.filter(~F.col("boundary")).join(beside.distinct(), ["doc", "place"], "left_semi"))
+    again = written(anchors.unionByName(grown.select(anchors.columns)), "again")
+
+    at = F.struct("id", "text_hash", "start")
+    firsts = written(
+        again.groupBy("hash").agg(F.min(F.struct(at.alias("at"), "doc", "stop")).alias("first")).select(
+            "hash", "first.at", "first.doc", "first.stop"
+        ),
+        "first-places",
+    )
+    kept_there = firsts.groupBy("doc").agg(F.collect_set(F.struct("hash", "at.start", "stop")).alias("holds"))
+    first_doc = key_filter(firsts.select("doc").distinct(), "doc")
+    # Equal rows are one document, and give the same bytes twice.
+    chunks = (
+        rows.filter(first_doc(F.col("doc")))
+        .join(kept_there, "doc")
+        .select(
+            F.inline(
+                _named(
+                    lines,
+                    lambda lines: F.transform(
+                        "holds",
+                        lambda c: F.struct(c["hash"].alias("hash"), _stretch(lines, c["start"], c["stop"]).alias("chunk")),
+                    ),
+                )
+            )
+        )
+        .groupBy("hash")
+        .agg(F.min("chunk").alias("chunk"))
+    )
+    # A chunk that very many documents hold is dealt out by document.
+    salt = F.pmod(F.col("doc"), F.lit(SALTS)).cast("int")
+    known = firsts.select("hash", "at").join(chunks, "hash").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    hashed = several.withColumn("hash", F.xxhash64("chunk"))
-    repeated = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("hash")
-    again = written(hashed.join(repeated, "hash", "left_semi"), "repeated-chunks")
-    # The chunk itself is part of the key: grouping and joining compare its bytes.
-    at = F.struct("id", "text_hash", "place")
-    first = again.groupBy("hash", "chunk").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.filter(F.col("n") > 1).select("hash", "chunk", "first")
     removed = (
-        again.withColumn("at", at)
-        .join(first, ["hash", "chunk"])
-        .filter(~F.col("at").eqNullSafe(F.col("first")))
-        .groupBy(F.col("id").alias("of"), F.col("text_hash").alias("of_hash"))
-        .agg(F.collect_set("place").alias("gone"))
+        again.select("doc", "hash", "start", "stop", at.alias("here"), salt.alias("salt"))
+        .join(known, ["hash", "salt"])
+        .filter(~F.col("here").eqNullSafe(F.col("at")))
+        .groupBy("doc")
+        .agg(F.collect_set(F.struct("start", "stop", "chunk")).alias("found"))
     )
-    rows = chunked.join(
-        removed,
-        F.col("id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")),
-        "left",
-    ).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    stays = F.filter("chunks", lambda _, k: ~F.array_contains("gone", k))
-    kept = rows.withColumn("kept", F.flatten(stays))
-    n_lines = F.aggregate("chunks", F.lit(0), lambda n, chunk: n + F.size(chunk))
-    none = F.col("no_text")
-    return kept.select(
+    removed = written(removed, "removed")
+    loses = key_filter(removed.select("doc"), "doc")
+
+    def valid(lines: Column) -> Column:
+        return F.filter("found", lambda c: _stretch(lines, c["start"], c["stop"]) == c["chunk"])
+
+    def left(lines: Column) -> Column:
+        gone = F.flatten(F.transform("gone", lambda c: F.sequence(c["start"], c["stop"])))
+        stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.transform(stays, lambda i: F.element_at(lines, i + 1))
+
+    none = F.col("text").isNull()
+    n_lines = F.when(none, 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    n_chunks = F.size(F.filter(line_chunks(lines, divisor), lambda c: c["boundary"]))
+    n_chunks = F.when(none, 0).otherwise(n_chunks).cast("long").alias("n_chunks")
+    touched = (
+        rows.filter(loses(F.col("doc")))
+        .join(removed, "doc", "left")
+        .withColumn("gone", F.when(F.col("found").isNotNull(), _named(lines, valid)))
+        .withColumn("kept", F.when(F.col("gone").isNotNull(), _named(lines, left)))
+    )
+    whole = F.col("kept").isNull()
+    changed = touched.select(
+        F.col("id").alias(id_col),
+        n_lines,
+        n_chunks,
+        F.when(whole, 0).otherwise(F.size("gone")).cast("long").alias("removed_chunks"),
+        F.when(whole, 0).otherwise(F.size(lines) - F.size("kept")).cast("long").alias("removed_lines"),
+        F.when(whole, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
+    )
+    zero = F.lit(0).cast("long")
+    untouched = rows.filter(~loses(F.col("doc"))).select(
         F.col("id").alias(id_col),
-        F.when(none, 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(F.size("chunks")).cast("long").alias("n_chunks"),
-        F.size("gone").cast("long").alias("removed_chunks"),
-        F.when(none, 0).otherwise(n_lines - F.size("kept")).cast("long").alias("removed_lines"),
-        F.when(~none, F.array_join("kept", "\n")).alias("text"),
+        n_lines,
+        n_chunks,
+        zero.alias("removed_chunks"),
+        zero.alias("removed_lines"),
+        "text",
     )
+    return changed.unionByName(untouched)
 
 
 def line_windows(lines: Column, min_lines: int) -> Column:

@@ -105,44 +105,49 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = f"""
-WITH l AS (
-  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-  FROM documents
-), h AS (
-  SELECT *, ('0x' || substr(md5(trim(line, ' ')), 1, 7))::BIGINT AS hash FROM l
-), cut AS (
-  SELECT *, (lag(hash, 1, 0::BIGINT) OVER (PARTITION BY doc_id ORDER BY i) * 31 + hash) % 2147483647
-    % {lines.DIVISOR} = 0 AS ends FROM h
-), numbered AS MATERIALIZED (
-  SELECT *, coalesce(sum(ends::INTEGER) OVER (PARTITION BY doc_id ORDER BY i
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM cut
-), chunks AS MATERIALIZED (
-  SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines,
-    count(*) FILTER (trim(line, ' ') <> '') AS filled FROM numbered GROUP BY doc_id, chunk_no
-), seen AS (
-  SELECT doc_id, chunk_no, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_no) AS nth
-  FROM chunks WHERE filled >= {lines.MIN_LINES}
-), marked AS (
-  SELECT c.*, coalesce(s.nth > 1, false) AS gone FROM chunks c LEFT JOIN seen s USING (doc_id, chunk_no)
+WITH l AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL
+), f AS (
+  SELECT doc_id, i, ('0x' || substr(md5(trim(line, ' ')), 1, 7))::BIGINT AS hash
+  FROM l WHERE trim(line, ' ') <> ''
+), n AS (
+  SELECT doc_id, i, lead(i) OVER d AS j, row_number() OVER d AS place,
+    (hash * 31 + lead(hash) OVER d) % 2147483647 % {lines.DIVISOR} <> 0 AS boundary
+  FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), p AS MATERIALIZED (
+  SELECT n.*, array_to_string(list_slice(string_split(text, chr(10)), i, j), chr(10)) AS chunk
+  FROM n JOIN documents USING (doc_id) WHERE j IS NOT NULL
+), anchors AS MATERIALIZED (
+  SELECT * FROM p WHERE boundary QUALIFY count(*) OVER (PARTITION BY chunk) > 1
+), beside AS (
+  SELECT DISTINCT doc_id, unnest([place - 1, place + 1]) AS place FROM anchors
+), grown AS (
+  SELECT p.* FROM p SEMI JOIN beside USING (doc_id, place) WHERE NOT boundary
+  QUALIFY count(*) OVER (PARTITION BY chunk) > 1
+), later AS MATERIALIZED (
+  SELECT * FROM (SELECT * FROM anchors UNION ALL SELECT * FROM grown)
+  QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later
 ), rebuilt AS (
-  SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS removed_chunks,
-    coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS removed_lines,
-    coalesce(string_agg(chunk, chr(10) ORDER BY chunk_no) FILTER (NOT gone), '') AS text
-  FROM marked GROUP BY doc_id
-)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines,
-  CASE WHEN d.text IS NULL THEN 0 ELSE n_chunks END AS n_chunks, removed_chunks, removed_lines,
-  CASE WHEN d.text IS NOT NULL THEN r.text END AS text
-FROM documents d JOIN rebuilt r USING (doc_id)
+  SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+), chunks AS (SELECT doc_id, count(*) FILTER (boundary) AS n FROM p GROUP BY doc_id),
+dropped AS (SELECT doc_id, count(*) AS n FROM later GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(chunks.n, 0) AS n_chunks,
+  coalesce(dropped.n, 0) AS removed_chunks, coalesce(removed_lines, 0) AS removed_lines, r.text
+FROM documents d LEFT JOIN rebuilt r USING (doc_id) LEFT JOIN chunks USING (doc_id) LEFT JOIN dropped USING (doc_id)
 """
 
 
-def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-OP4_PASSAGES_SQL = f"""
+PASSAGES_SQL = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS i
@@ -343,7 +348,7 @@ QUERIES = {
     "op2_temperature_mix": (op2_temperature_mix, OP2_SQL),
     "op3_license_scan": (op3_license_scan, None),
     "op4_line_dedup": (op4_line_dedup, OP4_SQL),
-    "op4_repeated_passages": (op4_repeated_passages, OP4_PASSAGES_SQL),
+    "repeated_passages": (repeated_passages, PASSAGES_SQL),
     "op5_stratified_shards": (op5_stratified_shards, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_benchmark_leaks": (op7_benchmark_leaks, None),
