@@ -24,8 +24,8 @@ from pricewake.session import written
 # One pair of lines in so many is no boundary.
 DIVISOR = 64
 MIN_LINES = 2
-# The rows of one repeated chunk meet its first place in so many tasks.
-SALTS = 32
+# Rows of a repeated chunk that meet its first place in one group; more are dealt out.
+CROWD = 256
 _MODULUS = (1 << 31) - 1
 
 
@@ -106,9 +106,12 @@ def drop_repeated_lines(
 
     at = F.struct("id", "text_hash", "start")
     firsts = written(
-        again.groupBy("hash").agg(F.min(F.struct(at.alias("at"), "doc", "stop")).alias("first")).select(
-            "hash", "first.at", "first.doc", "first.stop"
-        ),
+        again.groupBy("hash")
+        .agg(
+            F.min(F.struct(at.alias("at"), "doc", "stop")).alias("first"),
+            F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"),
+        )
+        .select("hash", "first.at", "first.doc", "first.stop", "parts"),
         "first-places",
     )
     kept_there = firsts.groupBy("doc").agg(F.collect_set(F.struct("hash", "at.start", "stop")).alias("holds"))
@@ -131,13 +134,17 @@ def drop_repeated_lines(
         .groupBy("hash")
         .agg(F.min("chunk").alias("chunk"))
     )
-    # A chunk that very many documents hold is dealt out by document.
-    salt = F.pmod(F.col("doc"), F.lit(SALTS)).cast("int")
-    known = firsts.select("hash", "at").join(chunks, "hash").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    # A chunk that very many documents hold is dealt out by document. Unhinted: the planner broadcasts the
+    # few crowded hashes if they are few, else splits them.
+    crowded = firsts.filter("parts > 1").select("hash", "parts")
+    salt = F.pmod(F.col("doc"), F.coalesce("parts", F.lit(1))).cast("int")
+    known = firsts.select("hash", "at", "parts").join(chunks, "hash").select(
+        "hash", "at", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
     )
     removed = (
-        again.select("doc", "hash", "start", "stop", at.alias("here"), salt.alias("salt"))
+        again.select("doc", "hash", "start", "stop", at.alias("here"))
+        .join(crowded, "hash", "left")
+        .withColumn("salt", salt)
         .join(known, ["hash", "salt"])
         .filter(~F.col("here").eqNullSafe(F.col("at")))
         .groupBy("doc")
