@@ -83,6 +83,14 @@ def listings_json(spark, sf):
 LISTINGS_JSON = f"WITH {I.LISTINGS_SQL} SELECT {', '.join(_BATCH)} FROM listings"
 
 
+def listings_json_array(spark, sf):
+    """The same listings as the elements of arrays that many tasks read."""
+    path = scratch_path(spark, "arrays")
+    rows = I.listings(spark, sf).select(F.to_json(F.struct(*_BATCH), {"ignoreNullFields": "false"}).alias("value"))
+    rows.write.option("lineSep", ",\n").text(path)
+    return files.read_listings_json(spark, path)
+
+
 def json_to_csv(spark, sf):
     source, target = scratch_path(spark, "listings-json"), scratch_path(spark, "listings-csv")
     files.write_json(I.listings(spark, sf).select(*_BATCH), source)
@@ -468,6 +476,7 @@ QUERIES = {
     "posts_csv": (posts_csv, POSTS_CSV),
     "retail_csv": (retail_csv, RETAIL_CSV),
     "listings_json": (listings_json, LISTINGS_JSON),
+    "listings_json_array": (listings_json_array, LISTINGS_JSON),
     "json_to_csv": (json_to_csv, JSON_TO_CSV),
     "nan_to_null": (nan_to_null, NAN_TO_NULL),
     "table_probe": (table_probe, TABLE_PROBE),

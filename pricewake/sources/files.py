@@ -10,38 +10,18 @@ from pyspark.sql import types as T
 
 from pricewake import schemas
 from pricewake.functions.text import nan_to_null, number
+from pricewake.sources import splits
 
-
-def _csv(spark: SparkSession):
-    # Quoted fields hold line breaks and doubled quotes.
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+# Layouts of one kind of file that may stand side by side.
+MAX_HEADERS = 1000
 
 
 def _typed(name: str, kind: T.DataType) -> Column:
     """A text column as the declared type; what is no plain number is null."""
-    value = F.col(f"`{name}`")
+    value = F.col(name)
     return number(value).cast(kind) if isinstance(kind, T.NumericType) else value.try_cast(kind)
 
 
-def _header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """The files below a path by their header line: (column names, file paths).
-
-    Reads the first line of each file only; a folder as a rule has one header.
-    """
-    first = (
-        spark.read.text(path)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
-        .filter(F.col("at") == 0)
-        .groupBy("file")
-        .agg(F.first("value").alias("header"))
-    )
-    by_header = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [
-        (next(csv.reader([row["header"].lstrip("\ufeff")]), []), row["files"])
-        for row in sorted(by_header.collect(), key=lambda r: r["files"])
-    ]
-
-
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, required=(), ordered: bool = False
 ) -> DataFrame:
@@ -49,33 +29,38 @@ def read_csv(
 
     Columns of ``schema`` that a file lacks come back as null, but a missing
     ``required`` one is an error. Numbers are plain decimals; anything else is null.
-    ``ordered`` adds ``ord``, as ``in_file_order`` does.
+    Quoted fields hold line breaks and doubled quotes; a large file is read by many tasks all the same, and what
+    crosses their borders is put together (``sources.splits``). Only the different headers reach the driver, at most
+    ``MAX_HEADERS``; file names never do, and may hold any character. ``ordered`` adds ``ord``, a text that
+    sorts rows by file and place.
     """
-    parts = []
-    for header, names in _header_groups(spark, path):
-        missing = [name for name in required if name not in header]
+    found = splits.records(spark, path, splits.CsvLines)
+    known = splits.headers(found, MAX_HEADERS)
+    # The first record of a file is its header.
+    body = found.filter((F.col("block") != 0) | (F.col("place") != 0))
+    parsed = []
+    for file, text in known:
+        names = next(csv.reader([text.lstrip("\ufeff").removesuffix("\r")]), [])
+        missing = [name for name in required if name not in names]
         if missing:
-            raise ValueError(f"{names[0]} has no column {', '.join(missing)}")
-        as_text = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        raw = _csv(spark).schema(as_text).csv(names)
-        order = ["ord"] if ordered else []
-        raw = in_file_order(raw) if ordered else raw
-        parts.append(
-            raw.select(
-                *[
-                    (_typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
-                    for f in schema
-                ],
-                *order,
-            )
-        )
-    if not parts:
-        fields = [*schema.fields, *([T.StructField("ord", T.StringType())] if ordered else [])]
-        return spark.createDataFrame([], T.StructType(fields))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionAll(part)
-    return whole
+            raise ValueError(f"{file} has no column {', '.join(missing)}")
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        record = F.when(F.col("header") == text, F.col("record"))
+        parsed.append((names, F.from_csv(record, fields, {"escape": '"', "quote": '"'})))
+    columns = [f"p{i}" for i in range(len(parsed))]
+    rows = body.select("*", *[parse.alias(c) for c, (_, parse) in zip(columns, parsed, strict=True)])
+
+    def value(field: T.StructField) -> Column:
+        held = [
+            _typed(f"{c}.c{names.index(field.name)}", field.dataType)
+            for c, (names, _) in zip(columns, parsed, strict=True)
+            if field.name in names
+        ]
+        return (F.coalesce(*held) if held else F.lit(None).cast(field.dataType)).alias(field.name)
+
+    place = [F.lpad(F.col(c).cast("string"), 19, "0") for c in ("block", "place")]
+    order = [F.concat_ws("|", "file", *place).alias("ord")] if ordered else []
+    return rows.select(*[value(field) for field in schema], *order)
 
 
 def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -93,11 +78,13 @@ def read_listings_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_listings_json(spark: SparkSession, path: str, as_array: bool = True) -> DataFrame:
     """Extracted listings: one JSON array per file, or one object per line.
 
-    The line form splits across tasks; use it beyond single small files.
+    Large files of either form are read by many tasks; the objects of an array are found by ``sources.splits``.
     """
-    return (
-        spark.read.schema(schemas.LISTINGS_BATCH).option("multiLine", as_array).json(path)
-    )
+    if not as_array:
+        return spark.read.schema(schemas.LISTINGS_BATCH).json(path)
+    found = splits.records(spark, path, splits.JsonObjects)
+    parsed = F.from_json("record", schemas.LISTINGS_BATCH)
+    return found.select(parsed.alias("row")).select("row.*")
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
