@@ -8,6 +8,7 @@ from pricewake.catalog import inputs as I
 from pricewake.catalog import sqltext as S
 from pricewake.functions import text as X
 from pricewake.functions.brands import ALIASES, BRANDS
+from pricewake.operators import brands
 from pricewake.operators import pages as PG
 from pricewake.operators import posts as PO
 
@@ -440,7 +441,36 @@ SELECT 'https://shop.example/p/' || p_partkey AS url,
 FROM part WHERE p_size IN (1, 2)
 """
 
+# As many aliases as parts; those of small numbers stand inside others, and the order decides.
+_ALIAS_ORD = "CAST((p_partkey * 7919) % 100003 AS BIGINT)"
+_ALIAS_TEXT = "'Lot of PART ' || l_partkey || ' by ' || l_suppkey || ', was Part ' || (l_partkey * 3 % 50000)"
+
+
+def alias_table(spark, sf):
+    """First alias out of a table of them, for every text; a part's number is an alias."""
+    dim = I.table(spark, sf, "part").selectExpr(
+        f"{_ALIAS_ORD} AS ord", "'pArt ' || p_partkey AS alias", "p_brand AS canonical"
+    )
+    texts = I.table(spark, sf, "lineitem").selectExpr(f"{I.KEY} AS listing_key", f"{_ALIAS_TEXT} AS text")
+    return brands.attach_first_alias(texts, dim).drop("text")
+
+
+ALIAS_TABLE = f"""
+WITH texts AS (SELECT {I.KEY} AS listing_key, {_ALIAS_TEXT} AS text FROM lineitem),
+dim AS (SELECT {_ALIAS_ORD} AS ord, 'pArt ' || p_partkey AS alias, p_brand AS canonical FROM part),
+-- Aliases differ in their number, so that a text holds those whose number begins a number of its own.
+held AS (
+  SELECT DISTINCT text, left(n, length) AS number FROM (
+    SELECT text, unnest(regexp_extract_all(lower(text), 'part ([0-9]+)', 1)) AS n FROM texts),
+    range(1, 12) r(length) WHERE length <= length(n)),
+firsts AS (
+  SELECT text, min(ord) AS alias_ord, min_by(alias, ord) AS alias, min_by(canonical, ord) AS canonical
+  FROM held JOIN dim ON alias = 'pArt ' || number GROUP BY text)
+SELECT listing_key, alias_ord, alias, canonical FROM texts LEFT JOIN firsts USING (text)
+"""
+
 QUERIES = {
+    "alias_table": (alias_table, ALIAS_TABLE),
     "post_filter": (post_filter, POST_FILTER),
     "line_split": (line_split, LINE_SPLIT),
     "fragment_split": (fragment_split, FRAGMENT_SPLIT),
