@@ -23,6 +23,8 @@ STEPS = 1 << 20
 FAN = 32
 PER_BLOCK = 4096
 HASH_RANGE = 1 << 48
+# Uses of a document that one row is expanded to at a time.
+USES = 1024
 WORD = r"[^ \t\n\x0B\f\r]+"
 
 
@@ -208,6 +210,26 @@ def _copies(plan_row_key: Column, seed: int) -> Column:
     return F.col("passes") + part.cast("long")
 
 
+def _each_use(used: DataFrame, plan: DataFrame) -> DataFrame:
+    """A row for each of ``copies`` uses, numbered from 0 in ``use``.
+
+    Where a source is used more than ``USES`` times, ranges of uses are cut finer and finer, and dealt over the
+    tasks in between, so that no row is expanded to more than ``USES`` at once, however many there are.
+    """
+    most = 1 + plan.agg(F.coalesce(F.max("passes"), F.lit(0))).first()[0]
+    ranges = used.filter(F.col("copies") > 0).withColumn("from", F.lit(0).cast("long")).withColumn("upto", F.col("copies"))
+    sizes = []
+    while USES ** (len(sizes) + 1) < most:
+        sizes.append(USES ** (len(sizes) + 1))
+    for size in reversed(sizes):
+        ranges = (
+            ranges.withColumn("from", F.explode(F.sequence("from", F.col("upto") - 1, F.lit(size).cast("long"))))
+            .withColumn("upto", F.least(F.col("from") + size, F.col("upto")))
+            .repartition("key", "from")
+        )
+    return ranges.withColumn("use", F.explode(F.sequence("from", F.col("upto") - 1))).drop("from", "upto")
+
+
 def mixture(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -227,21 +249,22 @@ def mixture(
     epoch's permutation. A null source is a source; a null or empty text has no
     tokens and is used in whole passes only, or where its key comes before the last one taken; a source
     without tokens has no weight and is not used; rows with equal ids share their place, rows without an
-    id take that of their text. Empty tables give no rows. Other columns are not read.
+    id take that of their text. Empty tables give no rows. Other columns are not read. Without a repetition limit a
+    source of few tokens comes as often as its weight asks, however often that is. Very long
+    texts are counted whole.
     """
     rows, plan, _ = plan_mix(docs, id_col, text_col, source_col, budget, entropy, repetition, seed, per_block)
     named = plan.select(F.col("source").alias("of"), "weight", "passes", "blocks", "last")
     used = rows.join(named, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", _copies(F.col("key"), seed))
-    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch")
     return (
-        used.filter(F.col("copies") > 0)
-        .select("id", "source", "key", "tokens", "weight", "blocks", epochs)
+        _each_use(used, plan)
+        .withColumnRenamed("use", "epoch")
         .select(
             F.col("id").alias(id_col),
             "source",
             F.col("tokens").alias("n_tokens"),
             F.round("weight", 6).alias("weight"),
-            F.col("epoch").cast("int").alias("epoch"),
+            "epoch",
             block_of(order_key(F.col("key"), F.col("epoch"), seed), F.col("blocks")).alias("block"),
         )
     )
@@ -271,8 +294,4 @@ def mix_documents(
     )
     named = plan.select(F.col("source").alias("of"), "passes", "last")
     used = packed.join(named, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", _copies(F.col("key"), seed))
-    return (
-        used.filter(F.col("copies") > 0)
-        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("use"))
-        .select("row.*")
-    )
+    return _each_use(used, plan).select("row.*")

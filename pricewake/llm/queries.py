@@ -87,9 +87,9 @@ tried AS (
 ), upto AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY h) AS filled FROM keyed
 ), used AS (
-  SELECT *, unnest(range(passes + CASE WHEN filled <= rest THEN 1 ELSE 0 END)) AS epoch FROM upto
+  SELECT *, unnest(range(passes + CASE WHEN filled <= rest THEN 1 ELSE 0 END))::BIGINT AS epoch FROM upto
 )
-SELECT doc_id, source, tokens AS n_tokens, round(weight, 6) AS weight, epoch::INTEGER AS epoch,
+SELECT doc_id, source, tokens AS n_tokens, round(weight, 6) AS weight, epoch,
   floor(('0x' || substr(md5('11:' || epoch || ':' || key), 1, 12))::BIGINT * blocks / 281474976710656.0)::BIGINT
     AS block
 FROM used

@@ -75,6 +75,19 @@ def test_documents_like_mixture(spark):
     assert max(a.values()) <= 3
 
 
+def test_very_many_uses(spark, monkeypatch):
+    """A source of one word with half the weight: ranges of its uses are cut over several levels."""
+    rows = [(1, "one", "tiny"), (2, "two " * 50, "large"), (3, "three " * 50, "large")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for uses in (1024, 16):
+        monkeypatch.setattr(mixing, "USES", uses)
+        got = mixing.mixture(docs, entropy=1.0, budget=40_000)
+        seen = Counter((r.doc_id, r.epoch) for r in got.collect())
+        assert seen == Counter({(1, e): 1 for e in range(20_000)} | {(i, e): 1 for i in (2, 3) for e in range(200)})
+    mixed = Counter(r.doc_id for r in mixing.mix_documents(docs, entropy=1.0, budget=40_000).collect())
+    assert mixed == {1: 20_000, 2: 200, 3: 200}
+
+
 def test_awkward(spark):
     got = mixing.mixture(awkward(spark), repetition=4.0).collect()
     known = {1, 2, 3, 4, 5, 6, 7, None, 8, 9, 10, 11}
