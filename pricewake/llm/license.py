@@ -300,14 +300,17 @@ def _places(joined: Column, rule: Column) -> Column:
 _SPAN = "struct<start:int,stop:int,rule:int,level:int,label:string>"
 
 
+# Detections that one array gathers; an array that grows is copied with every step.
+GATHERED = 512
+
+
 def _kept(found: Column) -> Column:
-    """The detections that no other one suppresses, of a sorted array."""
-    begin = F.struct(
-        F.lit(-1).alias("end0"),
-        F.lit(-1).alias("end1"),
-        F.lit(-1).alias("end2"),
-        F.array().cast(f"array<{_SPAN}>").alias("kept"),
-    )
+    """The detections that no other one suppresses, of a sorted array, taken in portions."""
+    ends = ("end0", "end1", "end2")
+
+    def state(kept: str, *values: Column) -> Column:
+        none = F.array().cast(f"array<{kept}>")
+        return F.struct(*[v.alias(n) for n, v in zip(ends, values, strict=True)], none.alias("kept"))
 
     def step(state: Column, d: Column) -> Column:
         end, level = -d["back"], d["level"]
@@ -327,7 +330,25 @@ def _kept(found: Column) -> Column:
             F.when(end > above, F.concat(state["kept"], F.array(span))).otherwise(state["kept"]).alias("kept"),
         )
 
-    return F.aggregate(found, begin, step, lambda state: state["kept"])
+    def portion(whole: Column, part: Column) -> Column:
+        done = F.aggregate(part, state(_SPAN, *[whole[n] for n in ends]), step)
+        # Named, so that a portion is gone through once.
+        return F.element_at(
+            F.transform(
+                F.array(done),
+                lambda x: F.struct(
+                    *[x[n].alias(n) for n in ends], F.concat(whole["kept"], F.array(x["kept"])).alias("kept")
+                ),
+            ),
+            1,
+        )
+
+    starts = F.when(
+        F.size(found) > 0, F.sequence(F.lit(1), F.size(found), F.lit(GATHERED))
+    ).otherwise(F.array().cast("array<int>"))
+    portions = F.transform(starts, lambda i: F.slice(found, i, F.lit(GATHERED)))
+    begin = state(f"array<{_SPAN}>", *[F.lit(-1)] * 3)
+    return F.aggregate(portions, begin, portion, lambda whole: F.flatten(whole["kept"]))
 
 
 def scan_licenses(
@@ -341,7 +362,8 @@ def scan_licenses(
     left (start, stop in words, rule, class, label); ``labels`` are theirs and the base ones,
     distinct, sorted, comma-joined, empty without any. ``score`` is that of the highest class
     found: notice 1, name 0.8, hint 0.5, nothing 0. Null and empty texts have no words. Repeated rows are
-    scanned each, null ids stay null, other columns are not read.
+    scanned each, null ids stay null, other columns are not read. A text of any length is one row's work, which
+    grows with its words and detections.
     """
     rules = RULES if rules is None else rules
     keywords = F.array(*[F.lit(word) for word in sorted({rule.keyword for rule in rules})])
