@@ -245,6 +245,18 @@ SELECT url, title, date FROM posts ORDER BY date DESC, url LIMIT 10
 """
 
 
+def newest_stream(spark, sf):
+    """The newest posts of a feed whose files land out of order, a file at a time, the latest files first."""
+    root = scratch_path(spark, "feed")
+    posts = I.sale_posts(spark, sf).withColumn("scraped_at", F.lit(I.EARLIER).cast("timestamp"))
+    for part in (2, 0, 1):
+        posts.filter(F.pmod(F.xxhash64("url"), F.lit(3)) == part).write.mode("append").json(f"{root}/landing")
+    feed = J.read_landing(spark, f"{root}/landing", files_per_batch=1, latest_first=True, max_file_age="7d")
+    newest = J.NewestPosts(spark, f"{root}/newest", 10)
+    newest.start(feed, f"{root}/checkpoint").awaitTermination()
+    return newest.read().select("url", "title", "date")
+
+
 # ---- ingest --------------------------------------------------------------------------
 
 
@@ -365,17 +377,17 @@ def ingest_summary(spark, sf):
 
 
 _COUNTS = (
-    "scraped", "posts_upserted", "posts_modified", "listings_extracted", "listings_upserted",
-    "listings_modified",
+    "scraped", "skipped_without_url", "posts_upserted", "posts_modified", "listings_extracted",
+    "listings_upserted", "listings_modified",
 )
 INGEST_SUMMARY = f"""
 WITH {_FEED_SQL}, {extracted_sql("any")}
-SELECT 0 AS run, (SELECT count(*) FROM posts) AS scraped,
+SELECT 0 AS run, (SELECT count(*) FROM posts) AS scraped, CAST(0 AS BIGINT) AS skipped_without_url,
   (SELECT count(*) FROM posts) AS posts_upserted, CAST(0 AS BIGINT) AS posts_modified,
   (SELECT count(*) FROM extracted) AS listings_extracted,
   (SELECT count(*) FROM extracted) AS listings_upserted, CAST(0 AS BIGINT) AS listings_modified
 UNION ALL
-SELECT 1, (SELECT count(*) FROM posts), 0, (SELECT count(*) FROM posts WHERE flair IS NOT NULL),
+SELECT 1, (SELECT count(*) FROM posts), (SELECT count(*) FROM posts WHERE flair IS NULL), 0, (SELECT count(*) FROM posts WHERE flair IS NOT NULL),
   (SELECT count(*) FROM extracted WHERE flair IS NOT NULL), 0,
   (SELECT count(*) FROM extracted WHERE flair IS NOT NULL)
 """
@@ -484,6 +496,7 @@ QUERIES = {
     "keyed_table": (keyed_table, KEYED_TABLE),
     "history_keep_first": (history_keep_first, HISTORY_KEEP_FIRST),
     "newest_n": (newest_n, NEWEST_N),
+    "newest_stream": (newest_stream, NEWEST_N),
     "ingest_posts": (ingest_posts, INGEST_POSTS),
     "ingest_listings": (ingest_listings, INGEST_LISTINGS),
     "ingest_replies": (ingest_replies, INGEST_REPLIES),

@@ -17,12 +17,16 @@ def _struct(columns: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns])
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column], choose) -> DataFrame:
+def _pick(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], choose, counted: str | None = None
+) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     # The payload closes the order, so equal ranks still give one fixed answer.
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], _struct(rest).alias("row"))
-    best = df.groupBy(*keys).agg(choose(rank).alias("best"))
-    return best.select(*[F.col(f"`{k}`") for k in keys], "best.row.*").select(*df.columns)
+    counts = [F.count(F.lit(1)).alias(counted)] if counted else []
+    best = df.groupBy(*keys).agg(choose(rank).alias("best"), *counts)
+    more = [counted] if counted else []
+    return best.select(*[F.col(f"`{k}`") for k in keys], "best.row.*", *more).select(*df.columns, *more)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -30,9 +34,11 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return _pick(df, keys, order, F.min)
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The row that comes last in ``order`` for each key."""
-    return _pick(df, keys, order, F.max)
+def latest_by(
+    df: DataFrame, keys: Sequence[str], *order: Column, counted: str | None = None
+) -> DataFrame:
+    """The row that comes last in ``order`` for each key; ``counted`` names a column with the rows of the key."""
+    return _pick(df, keys, order, F.max, counted)
 
 
 def keep_first(history: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
