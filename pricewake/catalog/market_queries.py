@@ -10,7 +10,7 @@ from pricewake.functions.text import market_name
 from pricewake.operators import cleaning as C
 from pricewake.operators import similarity, stats
 from pricewake.operators.keyed import first_by
-from pricewake.plans import browse, market
+from pricewake.plans import browse, grams, market
 from pricewake.session import scratch_path, written
 
 DIGITS = 4
@@ -537,6 +537,23 @@ ORDER BY {_LIST_ORDER} LIMIT 5
 """
 
 
+def _grams(spark, sf):
+    return grams.GramIndex(spark, scratch_path(spark, "grams")).build(catalogue_index(spark, sf))
+
+
+def gram_search(spark, sf):
+    """The same search through postings."""
+    return _rounded(_grams(spark, sf).search("Ring"), *_LISTED_NUMBERS)
+
+
+def gram_brand_suggest(spark, sf):
+    return _grams(spark, sf).suggest_brands("Brand#1")
+
+
+def gram_name_suggest(spark, sf):
+    return _grams(spark, sf).suggest_names("bolt")
+
+
 def trending(spark, sf):
     return _rounded(browse.trending(catalogue_index(spark, sf)), "weighted_avg_price")
 
@@ -596,6 +613,9 @@ QUERIES = {
     "search": (search, SEARCH),
     "brand_suggest": (brand_suggest, BRAND_SUGGEST),
     "name_suggest": (name_suggest, NAME_SUGGEST),
+    "gram_search": (gram_search, SEARCH),
+    "gram_brand_suggest": (gram_brand_suggest, BRAND_SUGGEST),
+    "gram_name_suggest": (gram_name_suggest, NAME_SUGGEST),
     "trending": (trending, TRENDING),
     "index_display": (index_display, INDEX_DISPLAY),
 }
