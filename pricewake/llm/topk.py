@@ -9,7 +9,8 @@ a vector's open postings can still add or take away is at most the norm of its o
 the query, and the index knows the former after every level. A search stops only when that proves that all
 but a few vectors are below the k-th best score; those few, the possible members, are scored exactly.
 
-Index blocks meet query blocks of bounded size, so no task and no broadcast grows with the input.
+Index blocks are read where they are stored, and queries are shipped to them in passes of bounded size, so no task and
+no broadcast grows with the input and no copy of the index is shuffled.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricewake.llm.passes import PASS_BYTES, matrix, query_passes, vector_width
 from pricewake.session import written
 
 K = 20
-BLOCK = 16_384
-QUERY_BLOCK = 512
+BLOCK = 8192
 QUERY_BATCH = 64
 # A search stops when at most this share of a block (or ``LEFT`` times the wanted results) is left to score.
 SHARE_LEFT = 1 / 32
@@ -95,13 +97,6 @@ class Block:
             yield left, self.vectors[left] @ query
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
-    for row, values in zip(out, column, strict=True):
-        row[: len(values)] = values
-    return out
-
-
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, factor: float = 64.0) -> DataFrame:
     """(id, vector) with components floor(factor * x); null, non-finite and id-less rows left out."""
     x = F.col("raw")
@@ -115,12 +110,12 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, factor: float =
 
 def build_index(vectors: DataFrame, blocks: int) -> DataFrame:
     """One row per block of (id, vector): ids, flat vectors, and the order of every dimension."""
-    width = vectors.agg(F.coalesce(F.max(F.size("vector")), F.lit(0))).first()[0]
+    width = vector_width(vectors)
     placed = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        docs, values, levels, dims, starts = Block.segments(_matrix(rows.vector, width))
+        docs, values, levels, dims, starts = Block.segments(matrix(rows.vector, width))
         parts = {
             "ids": rows.id.to_numpy(np.int64),
             "docs": docs,
@@ -141,10 +136,36 @@ def build_index(vectors: DataFrame, blocks: int) -> DataFrame:
     return written(placed.groupBy("block").applyInPandas(build, schema), "impact-index")
 
 
-def _stored(row: pd.Series) -> Block:
+def _stored(batch: pa.RecordBatch, i: int) -> Block:
+    row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
     kinds = {"ids": np.int64, "docs": np.int32, "values": row["kind"], "levels": np.int32, "dims": np.int32, "starts": np.int64}
     parts = {name: np.frombuffer(row[name], kind) for name, kind in kinds.items()}
-    return Block(**parts, width=int(row["width"]))
+    return Block(**parts, width=row["width"])
+
+
+def _nearest(shipped, k: int):
+    """The ``k`` best of every index block for every query of a pass."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owns, vectors = shipped.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                here, rows = _stored(batch, i), []
+                asked = vectors[:, : here.vectors.shape[1]]
+                for start in range(0, len(asked), QUERY_BATCH):
+                    # One more, as the query's own row may be among the best and is not wanted.
+                    best = here.search(asked[start : start + QUERY_BATCH], k + 1)
+                    for own, (places, scores) in zip(owns[start : start + QUERY_BATCH].tolist(), best, strict=True):
+                        ids = here.ids[places]
+                        scores, ids = scores[ids != own], ids[ids != own]
+                        order = np.lexsort((ids, -scores))[:k]
+                        rows.append((np.full(len(order), own), ids[order], scores[order]))
+                columns = [np.concatenate([row[c] for row in rows]) if rows else [] for c in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"]
+                )
+
+    return search
 
 
 def top_k(
@@ -152,56 +173,34 @@ def top_k(
     queries: DataFrame,
     k: int = K,
     block: int = BLOCK,
-    query_block: int = QUERY_BLOCK,
+    pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): every query's k largest inner products.
 
     Both inputs are (id long, vector array<long>) as ``quantised`` gives them. A query's own id
     is no candidate; ties go to the smaller id; fewer candidates give fewer rows. Of rows with
     one id the smallest vector counts. Missing trailing components are zero. Empty
-    inputs give no rows. Scores are exact below 2^53. The
-    index is written below ``spark.checkpoint.dir``; a task holds one block of it.
+    inputs give no rows. Scores are exact below 2^53. The index, and the results of every pass of queries over it,
+    are written below ``spark.checkpoint.dir``; a task holds one block of the index, the driver one pass.
     """
+    spark = vectors.sparkSession
     once = vectors.groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = max(1, -(-once.count() // block))
     index = build_index(once, blocks)
-    asked = queries.groupBy("id").agg(F.min("vector").alias("vector"))
-    n_queries = asked.count()
-    parts = max(1, -(-n_queries // query_block))
-    cells = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    part = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts)).cast("int")
-    asked = asked.select("id", "vector", part.alias("part")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    )
-
-    def search(stored: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(stored) and len(wanted):
-            here = _stored(stored.iloc[0])
-            width = here.vectors.shape[1]
-            asked = _matrix(wanted.vector, max([width, *map(len, wanted.vector)]))[:, :width]
-            for start in range(0, len(asked), QUERY_BATCH):
-                owns = wanted.id.to_numpy(np.int64)[start : start + QUERY_BATCH]
-                # One more, as the query's own row may be among the best and is not wanted.
-                best = here.search(asked[start : start + QUERY_BATCH], k + 1)
-                for own, (places, scores) in zip(owns.tolist(), best, strict=True):
-                    ids = here.ids[places]
-                    scores, ids = scores[ids != own], ids[ids != own]
-                    order = np.lexsort((ids, -scores))[:k]
-                    rows += [(own, i, s) for i, s in zip(ids[order].tolist(), scores[order].tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    # A cell is much work on few bytes: a partition for each, which size-based merging leaves alone.
-    cells = cells.repartition(blocks * parts, "block", "part")
-    asked = asked.repartition(blocks * parts, "block", "part")
-    found = (
-        cells.groupBy("block", "part")
-        .cogroup(asked.groupBy("block", "part"))
-        .applyInPandas(search, "query_id long, vec_id long, score long")
-    )
+    asked = written(queries.groupBy("id").agg(F.min("vector").alias("vector")), "queries")
+    # A query's components beyond the index's meet nothing.
+    width = vector_width(once)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    results = []
+    for part in query_passes(asked, width, pass_bytes):
+        rows = matrix(part.column("vector").to_pylist(), width)
+        shipped = spark.sparkContext.broadcast((part.column("id").to_numpy(), rows))
+        found = index.mapInArrow(_nearest(shipped, k), "query_id long, vec_id long, score long")
+        ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        results.append(written(ranked.select("query_id", "rank", "vec_id", "score"), "nearest"))
+    if not results:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = results[0]
+    for part in results[1:]:
+        out = out.unionByName(part)
+    return out

@@ -14,14 +14,14 @@ def brute(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("n,dims,block,query_block", [(300, 8, 64, 7), (700, 6, 400, 50), (5, 3, 2, 1)])
-def test_like_brute_force(spark, n, dims, block, query_block):
+@pytest.mark.parametrize("n,dims,block,pass_bytes", [(300, 8, 64, 500), (700, 6, 400, 1 << 20), (5, 3, 2, 24)])
+def test_like_brute_force(spark, n, dims, block, pass_bytes):
     random.seed(n)
     rows = [(i, [random.randint(-9, 9) for _ in range(dims)]) for i in range(n)]
     rows += [(n + i, rows[0][1]) for i in range(30)]  # ties
     rows += [(n + 100, [0] * dims)]
     df = spark.createDataFrame(rows, "id long, vector array<long>")
-    got = topk.top_k(df, df.filter("id % 3 = 0"), 4, block, query_block)
+    got = topk.top_k(df, df.filter("id % 3 = 0"), 4, block, pass_bytes)
     assert {tuple(r) for r in got.collect()} == brute(rows, [r for r in rows if r[0] % 3 == 0], 4)
 
 
