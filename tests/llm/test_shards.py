@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from helpers import SF, awkward, empty
 
 from pricewake.llm import shards
@@ -35,6 +36,48 @@ def test_like_one_sort(spark):
     assert places[0] == places[1] == places[2]
 
 
+def fraction(*values):
+    """A chained 64-bit hash of longs (8 bytes), texts, and a seed (4 bytes), as a number in [0, 1)."""
+    h = 42
+    for value, width in values:
+        if value is not None:
+            raw = value.encode() if width is None else value.to_bytes(width, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return (h >> 11) / (1 << 53)
+
+
+def brute(rows, shards_wanted, seed=17):
+    """Rank by hash within the source, fractional rank, one sort, cut: (id, source, size, crc, shard, slot)."""
+    fields = []
+    for i, text, source in rows:
+        raw = (text or "").encode()
+        fields.append((i, source, len(raw) + 16, zlib.crc32(raw)))
+    spread = []
+    for source in {f[1] for f in fields}:
+        own = [(fraction((i, 8), (size, 8), (crc, 8), (seed, 4)), i, size, crc) for i, s, size, crc in fields if s == source]
+        offset = fraction((source, None), (seed + 1, 4))
+        copies = Counter()
+        for rank, (_, i, size, crc) in enumerate(sorted(own)):
+            spread.append(((rank + offset) / len(own), i, source or "", size, crc, copies[i, size, crc], source))
+            copies[i, size, crc] += 1
+    out, total = set(), len(spread)
+    for at, (_, i, _, size, crc, copy, source) in enumerate(sorted(spread)):
+        shard = at * shards_wanted // total
+        out.add((i, source, size, crc, shard, at - -(-shard * total // shards_wanted)))
+    return out
+
+
+@pytest.mark.parametrize("shards_wanted", [1, 7, 300])
+def test_like_brute_force(spark, shards_wanted):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    rows = [tuple(r) for r in docs.collect()] + [(900, None, None), (901, "", "s"), (902, "é", "s"), (5, "copy", "s"), (5, "copy", "s")]
+    df = spark.createDataFrame(rows, docs.schema)
+    for per_bucket in (9, 4096):
+        got = shards.shard_rows(df, shards_wanted, per_bucket=per_bucket).collect()
+        assert {(r.doc_id, r.source, r.size, r.text_crc32, r.shard, r.slot) for r in got} == brute(rows, shards_wanted)
+        assert len(got) == len(rows)
+
+
 def test_hot_source_and_copies(spark):
     rows = [(1, "same", "en", "hot")] * 50 + [(i, f"t{i}", "en", f"s{i}") for i in range(2, 40)]
     got = shards.shard_rows(awkward(spark, rows), 4, per_bucket=5).collect()
