@@ -222,11 +222,53 @@ def _member_at(data: bytes, at: int) -> tuple[bytes, int] | str:
     return b"".join(parts), place - len(unpack.unused_data)
 
 
+def _decodable(data: bytes, at: int) -> bytes:
+    """What can be decoded of a damaged gzip member, in small steps so that little before the damage is lost."""
+    unpack, parts = zlib.decompressobj(31), []
+    try:
+        while not unpack.eof and at < len(data):
+            parts.append(unpack.decompress(data[at : at + 64]))
+            at += 64
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+def _inside(content: bytes) -> Iterator[tuple[str, int, int, tuple | str]]:
+    """(kind, start, stop, parsed or reason) of the records in a decoded member and the gaps between them."""
+    at, gap, reason = 0, None, ""
+    while at < len(content):
+        found = parse(content, at)
+        if isinstance(found, str):
+            if gap is None:
+                gap, reason = at, found
+            later = _START.search(content, at + 1)
+            at = later.start() if later else len(content)
+            continue
+        if gap is not None:
+            yield "gap", gap, at, reason
+            gap = None
+        yield "record", at, found[2], found
+        at = found[2]
+    if gap is not None:
+        yield "gap", gap, len(content), reason
+
+
+def _proved(parsed: tuple) -> bool:
+    """Whether the record's own digest vouches for it, as its member's checksum does not."""
+    headers = parsed[0]
+    return headers["warc-type"] == RESPONSE and headers.get("warc-payload-digest", "").startswith("sha1:")
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """(kind, first byte, end byte, record or reason) over a whole archive, in order.
 
     ``record`` entries hold a ``Record``; ``gap`` entries are the quarantined bytes between
     records, with the reason of the first failed check. Together they cover all bytes but empty members.
+
+    A member with several records gives them one after the other; the first entry has the member's bytes, later ones
+    stand at its end, and a gap inside says in its reason which decoded bytes it quarantines. Of a damaged member the
+    records in front of the damage are given if their own digest proves them; all its bytes are a gap all the same.
     """
     at, gap, reason = 0, None, ""
     places = {"member": -1, "version": -1}  # the next place of each kind that is not behind
@@ -244,11 +286,30 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
             opened = _member_at(data, at)
             if isinstance(opened, str):
                 found: tuple | str | None = opened
+                front = _decodable(data, at)
+                for kind, _, stop, what in _inside(front):
+                    # The last one may be what the damage has left of it.
+                    if kind == "record" and stop < len(front) and _proved(what):
+                        place = at if gap is None else gap
+                        yield "record", place, place, Record(at, what[0], what[1])
             else:
                 content, end = opened
                 found = parse(content, 0) if content else None
-                if isinstance(found, tuple) and found[2] != len(content):
-                    found = "member holds more than a record"
+                whole = isinstance(found, tuple) and found[2] == len(content)
+                parts = [] if whole or not content else list(_inside(content))
+                if any(part[0] == "record" for part in parts):
+                    if gap is not None:
+                        yield "gap", gap, at, reason
+                        gap = None
+                    first = at
+                    for kind, start, stop, what in parts:
+                        if kind == "gap":
+                            yield "gap", first, end, f"{what}, bytes {start} to {stop} of the member"
+                        else:
+                            yield "record", first, end, Record(at, what[0], what[1])
+                        first = end
+                    at = end
+                    continue
         else:
             found = parse(data, at)
             end = found[2] if isinstance(found, tuple) else at

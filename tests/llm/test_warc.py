@@ -114,3 +114,50 @@ def test_gaps_are_logged(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path)).orderBy("first_byte").collect()
     assert [r.kind for r in rows] == ["record", "gap", "record"]
     assert (rows[1].first_byte, rows[1].end_byte) == (len(parts[0]), len(parts[0]) + len(parts[1])) and rows[1].reason
+
+
+def one_member(records):
+    return gzip.compress(b"".join(records), mtime=0)
+
+
+def ids(found):
+    return [what.headers["warc-record-id"] for kind, *_, what in found if kind == "record"]
+
+
+def test_members_with_several_records():
+    random.seed(9)
+    bodies = [(i, bytes(random.choices(b"abcdef <>", k=random.randint(500, 3000)))) for i in range(12)]
+    raw = made(bodies)
+    parts = [one_member(raw[:5]), warc.member(raw[5]), one_member(raw[6:])]
+    whole = b"".join(parts)
+    found = list(warc.salvage(whole))
+    assert ids(found) == [f"<urn:page:{i}>" for i in range(12)] and all(kind == "record" for kind, *_ in found)
+    spans = [(x[1], x[2]) for x in found]
+    assert spans[0][0] == 0 and spans[-1][1] == len(whole) and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
+    # A record broken before it was packed: its neighbours in the member stay, and the gap says where.
+    broken = raw[:2] + [raw[2].replace(b"Content-Length", b"Content-Langth", 1)] + raw[3:5]
+    found = list(warc.salvage(one_member(broken) + parts[1]))
+    assert ids(found) == [f"<urn:page:{i}>" for i in (0, 1, 3, 4, 5)]
+    (gap,) = [x for x in found if x[0] == "gap"]
+    start = len(raw[0]) + len(raw[1])
+    assert f"bytes {start} to {start + len(broken[2])} of the member" in gap[3]
+
+
+def test_front_of_a_damaged_member():
+    random.seed(10)
+    bodies = [(i, bytes(random.choices(b"abcdef <>", k=3000))) for i in range(30)]
+    raw = made(bodies)
+    packed = one_member(raw[:20])
+    tail = [warc.member(r) for r in raw[20:]]
+    for at in (len(packed) // 3, len(packed) // 2, len(packed) - 6):
+        damaged = packed[:at] + bytes([packed[at] ^ 0x5A]) + packed[at + 1 :]
+        found = list(warc.salvage(damaged + b"".join(tail)))
+        got = ids(found)
+        assert got[-10:] == [f"<urn:page:{i}>" for i in range(20, 30)]
+        front = got[:-10]
+        # Those before the damage, but for one or two at its edge, and what decodes again behind it.
+        before = max(0, 20 * at // len(packed) - 3)
+        assert front[:before] == [f"<urn:page:{i}>" for i in range(before)] and len(set(front)) == len(front) < 20
+        assert all(what.payload == dict(bodies)[int(what.headers["warc-record-id"][10:-1])] for k, *_, what in found if k == "record")
+        gaps = [x for x in found if x[0] == "gap"]
+        assert (gaps[0][1], gaps[-1][2]) == (0, len(damaged))
