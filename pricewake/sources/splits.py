@@ -248,8 +248,9 @@ def records(spark: SparkSession, path: str, kind) -> DataFrame:
     starts = written(_starts(_summed(pieces, kind)), "block-starts")
     placed = pieces.join(starts, ["file", "block"]).sortWithinPartitions("file", "block", "line")
     found = written(_cut(placed.select("file", "block", "value", "quoted", "depth", "header"), kind), "records")
-    fragments = found.filter(F.col("part") != "whole")
-    return found.filter(F.col("part") == "whole").drop("part").unionByName(_joined(fragments, kind))
+    # One record a block at most; written, as the records are read several times.
+    crossing = written(_joined(found.filter(F.col("part") != "whole"), kind), "crossing-records")
+    return found.filter(F.col("part") == "whole").drop("part").unionByName(crossing)
 
 
 def headers(found: DataFrame, most: int) -> list[tuple[str, str]]:

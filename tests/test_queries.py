@@ -39,12 +39,14 @@ def bag(rows, columns):
     return Counter(tuple(cell(row[i]) for i in order) for row in rows)
 
 
+# Too many pairs for SQL; held to brute force in test_similarity.
+WITHOUT_TWIN = {"crowded_match"}
 # The queries of the library itself; those of optional folders have tests there.
-NAMES = sorted(name for module in entry_point._MODULES for name in module.QUERIES)
+NAMES = sorted({name for module in entry_point._MODULES for name in module.QUERIES} - WITHOUT_TWIN)
 
 
 def test_all_queries_have_a_twin():
-    assert set(NAMES) <= set(entry_point.queries())
+    assert {*NAMES, *WITHOUT_TWIN} <= set(entry_point.queries())
     assert set(NAMES) <= set(entry_point.oracle_sql())
 
 
