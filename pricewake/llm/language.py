@@ -262,7 +262,9 @@ def train(
 
     Per label about ``per_label`` documents are drawn by a hash of the id, and of each at most
     ``spans_per_doc`` spans from all over its text. That sample, a few megabytes whatever the input,
-    is the only text that reaches the driver. Without a usable row the model has no labels.
+    is the only text that reaches the driver. Without a usable row the model has no labels. The model is bounded too:
+    at most ``MAX_LABELS`` languages (more are an error), and ``max_features`` n-grams and ``max_lexicon`` words, the
+    most frequent ones, which all languages share; with hundreds of languages pass larger ones.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
