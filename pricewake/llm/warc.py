@@ -2,8 +2,8 @@
 
 The writer makes one gzip member per record and lets Spark's text writer put them down, so
 files are committed as any Spark output is, on any store, and a task that runs twice leaves one
-file. The text writer sets a separator after each value; every member ends with a zero byte
-(the top byte of a length below 16 MB, or that of an empty member added behind a longer
+file. The text writer sets a separator after each value, a block of members; every member ends with
+a zero byte (the top byte of a length below 16 MB, or that of an empty member added behind a longer
 record), and that byte is the separator.
 
 The reader checks every record: the member's checksum, the version line, the headers, the lengths,
@@ -33,6 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 MEMBER = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
+# Values of the text writer in a file; a value is many members.
+BLOCKS = 8
 
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 
@@ -93,36 +95,41 @@ def _gzip(content: bytes) -> bytes:
     return packer.compress(content) + packer.flush()
 
 
-def with_record_types(pages: DataFrame, id_col: str, uri_col: str, text_col: str, least: int = 0) -> DataFrame:
-    """(id, uri, payload, size, digest, type, refers_to) of each page.
-
-    Of pages with equal payloads of at least ``least`` bytes the one with the largest id is the response.
-    """
+def with_digests(pages: DataFrame, id_col: str, uri_col: str, text_col: str) -> DataFrame:
+    """(id, uri, payload, size, digest) of each page; a null text is an empty payload."""
     payload = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         F.col(id_col).alias("id"),
         F.col(uri_col).cast("string").alias("uri"),
         payload.alias("payload"),
-    ).withColumns({"size": F.octet_length("payload").cast("long"), "digest": payload_digest(F.col("payload"))})
-    largest = (
-        rows.filter(F.col("size") >= least)
-        .groupBy(F.col("digest").alias("same"), F.col("size").alias("same_size"))
-        .agg(F.max("id").alias("first"))
     )
+    return rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": payload_digest(F.col("payload"))})
+
+
+def with_record_types(rows: DataFrame, largest: DataFrame) -> DataFrame:
+    """Rows with ``type`` and ``refers_to``: of equal payloads the page with the largest id is the response."""
     joined = rows.join(
         largest, (F.col("digest") == F.col("same")) & (F.col("size") == F.col("same_size")), "left"
     )
     # Rows without an id are revisits of one that has; with no id in the group all are responses.
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
-    return joined.select(
-        "id",
-        "uri",
-        F.when(~again, F.col("payload")).alias("payload"),
-        "size",
-        "digest",
-        F.when(again, REVISIT).otherwise(RESPONSE).alias("type"),
-        F.when(again, F.col("first")).alias("refers_to"),
-    )
+    return joined.drop("same", "same_size").withColumns(
+        {
+            "type": F.when(again, REVISIT).otherwise(RESPONSE),
+            "refers_to": F.when(again, F.col("first")).cast("string"),
+        }
+    ).drop("first")
+
+
+def _surely_revisits(ids: list, digests: list[str], sizes: list[int], least: int) -> list[bool]:
+    """Which rows have a row of equal payload and larger id beside them in the batch."""
+    top: dict[tuple[str, int], object] = {}
+    keys = list(zip(digests, sizes, strict=True))
+    for key, page in zip(keys, ids, strict=True):
+        # What is equal to itself is no NaN.
+        if page is not None and page == page and key[1] >= least and (key not in top or top[key] < page):
+            top[key] = page
+    return [key in top and (page is None or page < top[key]) for key, page in zip(keys, ids, strict=True)]
 
 
 def write_archives(
@@ -132,34 +139,74 @@ def write_archives(
     uri_col: str = "url",
     text_col: str = "html",
     least: int = 0,
-    per_file: int = 20_000,
+    file_bytes: int = 64 << 20,
 ) -> None:
-    """Write one record per page into gzip archives below ``path``, ``per_file`` records at most each.
+    """Write one record per page into gzip archives below ``path``.
+
+    A file is closed at ``file_bytes``, in ``BLOCKS`` parts that each end with a whole record, so it is larger by at
+    most ``BLOCKS`` records: long pages make more files, not larger ones. A null page text is an empty payload. A null id is written as one.
+    Pages equal in id and payload are all responses if theirs is the largest id. Other columns are not read. An
+    empty table writes no records. A very long page is one record, held whole by a task.
 
-    A null page text is an empty payload. A null id is written as one. Pages equal in id and
-    payload are all responses if theirs is the largest id. Other columns are not read. An empty
-    table writes no records.
+    Payloads are packed before the shuffle that finds the revisits, and those whose larger twin stands in the same
+    batch stay behind.
     """
-    typed = with_record_types(pages, id_col, uri_col, text_col, least)
-    typed = typed.withColumns({"id": F.col("id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
+    rows = with_digests(pages, id_col, uri_col, text_col)
+    largest = (
+        rows.filter(F.col("size") >= least)
+        .groupBy(F.col("digest").alias("same"), F.col("size").alias("same_size"))
+        .agg(F.max("id").alias("first"))
+    )
+    names = ["id", "key", "uri", "size", "digest", "packed"]
+    shaped = rows.withColumn("key", F.col("id").cast("string")).select(*names[:-1], "payload")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            spare = _surely_revisits(*(whole.column(i).to_pylist() for i in (0, 4, 3)), least)
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                packed = [
+                    None
+                    if skip
+                    else member(record(r["key"], r["uri"], RESPONSE, r["digest"], r["size"], None, r["payload"]))
+                    for r, skip in zip(batch.to_pylist(), spare[start:], strict=False)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:5], pa.array(packed, pa.binary())], names=names
+                )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    members = shaped.mapInArrow(pack, f"id {kind}, key string, uri string, size long, digest string, packed binary")
+    typed = with_record_types(members, largest)
+    block = max(1, file_bytes // BLOCKS)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256).to_pylist()
-                members = [
-                    member(
-                        record(
-                            r["id"], r["uri"], r["type"], r["digest"], r["size"], r["refers_to"], r["payload"] or b""
-                        )
-                    )[:-1]
-                    for r in rows
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+                for r in batch.slice(start, 256).to_pylist():
+                    again = r["type"] == REVISIT
+                    part = (
+                        member(record(r["key"], r["uri"], REVISIT, r["digest"], r["size"], r["refers_to"], b""))
+                        if again
+                        else r["packed"]
+                    )
+                    held.append(part)
+                    size += len(part)
+                    if size >= block:
+                        yield _block(held)
+                        held, size = [], 0
+        if held:
+            yield _block(held)
+
+    values = typed.mapInArrow(gather, "value binary").select(F.col("value").cast("string").alias("value"))
+    writer = values.write.option("lineSep", "\0").option("compression", "none")
+    writer.option("maxRecordsPerFile", BLOCKS).text(path)
+
 
-    packed = typed.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    writer = packed.write.option("lineSep", "\0").option("compression", "none")
-    writer.option("maxRecordsPerFile", per_file).text(path)
+def _block(members: list[bytes]) -> pa.RecordBatch:
+    """Members as one value, less the last byte, which the text writer sets."""
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["value"])
 
 
 class Record:

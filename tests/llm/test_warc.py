@@ -161,3 +161,35 @@ def test_front_of_a_damaged_member():
         assert all(what.payload == dict(bodies)[int(what.headers["warc-record-id"][10:-1])] for k, *_, what in found if k == "record")
         gaps = [x for x in found if x[0] == "gap"]
         assert (gaps[0][1], gaps[-1][2]) == (0, len(damaged))
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "u", rng.randbytes(20_000).hex()) for i in range(60)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(table, str(tmp_path / "out"), file_bytes=160_000)
+    sizes = [p.stat().st_size for p in Path(tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert len(sizes) > 6 and max(sizes) < 160_000 + warc.BLOCKS * 26_000
+    warc.write_archives(table, str(tmp_path / "small"), file_bytes=64)
+    got = warc.read_archives(spark, str(tmp_path / "out")).collect()
+    assert all(r.kind == "record" for r in got)
+    assert {bytes(r.payload).decode() for r in got} == {r[2] for r in rows} and len(got) == 60
+    again = warc.read_archives(spark, str(tmp_path / "small"))
+    assert again.count() == 60
+
+
+def test_rows_that_are_surely_revisits():
+    same = warc._surely_revisits([3, 1, None, 3, 2, None], list("aaaabb"), [5, 5, 5, 5, 5, 5], 0)
+    assert same == [False, True, True, False, False, True]
+    assert warc._surely_revisits([3, 1], list("aa"), [5, 5], 6) == [False, False]
+    assert warc._surely_revisits([float("nan"), 1.0, 2.0], list("aaa"), [5] * 3, 0) == [False, True, False]
+
+
+def test_payloads_of_revisits_stay_behind(spark, tmp_path):
+    rng = random.Random(6)
+    html = rng.randbytes(50_000).hex()
+    table = spark.createDataFrame([(i, "u", html) for i in range(100)], "page_id long, url string, html string").coalesce(1)
+    got = warc.archive_round_trip(table).collect()
+    assert [r.type for r in sorted(got, key=lambda r: r.type)] == ["response"] + ["revisit"] * 99
+    assert [bytes(r.payload).decode() for r in got if r.payload] == [html]
+    assert {r.payload_bytes for r in got} == {100_000}
