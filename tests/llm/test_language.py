@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 from helpers import awkward, empty
+from pyspark.sql import functions as F
 
 from pricewake.llm import language
 
@@ -10,8 +11,11 @@ from pricewake.llm import language
 def test_forward_backward_like_enumeration():
     rng = np.random.default_rng(3)
     lengths = np.array([5, 4, 4, 1])
-    emit, move, start = rng.normal(size=(4, 5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    posterior, pairs, normaliser = language.forward_backward(emit, lengths, move, start)
+    emit, moves, start = rng.normal(size=(4, 5, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    posterior, counts, normaliser = language.forward_backward(emit, lengths, moves, start)
+    stay, leave, enter = moves
+    move = leave[:, None] + enter[None, :]
+    np.fill_diagonal(move, stay)
     want_pairs = np.zeros((3, 3))
     for span, n in enumerate(lengths):
         total, marginal, own = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
@@ -26,7 +30,8 @@ def test_forward_backward_like_enumeration():
         assert np.allclose(posterior[span, :n], marginal / total) and np.isclose(normaliser[span], np.log(total))
         assert not posterior[span, n:].any()
         want_pairs += own / total
-    assert np.allclose(pairs, want_pairs)
+    stayed = np.diag(want_pairs)
+    assert np.allclose(counts, [stayed, want_pairs.sum(1) - stayed, want_pairs.sum(0) - stayed])
 
 
 def test_held_out_accuracy(spark):
@@ -44,22 +49,97 @@ def test_held_out_accuracy(spark):
     assert np.array_equal(model.weights, again.weights) and model.features == again.features
 
 
-def test_switched_text(spark):
+def test_gradient_is_that_of_the_likelihood():
+    spans = [("a", ["xa", "xb", "xa"]), ("b", ["ya", "xb"]), ("c", ["za", "yb", "zc", "zc"])] * 4
+    model = language.fit(spans, rounds=3)
+    rows = sorted([([0] * 3, ["xa", "xb", "xa"]), ([1, 2, 2], ["ya", "za", "zc"])], key=lambda x: -len(x[1]))
+    step = language._Step(rows, [1.0, 1.0], model)
+
+    def likelihood():
+        scores = step.entries.scores(model.weights)
+        emit = scores[step.at]
+        _, _, normaliser = language.forward_backward(emit, step.length, model.move, model.start)
+        total = -normaliser.sum()
+        for i, (gold, _) in enumerate(rows):
+            total += model.start[gold[0]] + sum(emit[i, t, y] for t, y in enumerate(gold))
+            for x, y in zip(gold, gold[1:]):
+                total += model.move[0, x] if x == y else model.move[1, x] + model.move[2, y]
+        return total
+
+    params = [model.weights, model.move, model.start]
+    up = [np.zeros_like(p) for p in params]
+    step.add(model, up)
+    rng = np.random.default_rng(1)
+    for p, u in zip(params, up):
+        for _ in range(12):
+            place = tuple(rng.integers(n) for n in p.shape)
+            p[place] += 1e-5
+            above = likelihood()
+            p[place] -= 2e-5
+            below = likelihood()
+            p[place] += 1e-5
+            assert np.isclose((above - below) / 2e-5, u[place], atol=1e-5)
+
+
+def test_switched_text_of_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(docs)
     by = {}
     for r in docs.filter("lang is not null").collect():
         words = language.words_of(r.text)
-        if len(words) > 100 and model.label([r.text])[0].argmax() == model.labels.index(r.lang):
+        if len(words) > 100 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2:
             by.setdefault(r.lang, words)
-    a, b = sorted(by)[:2]
-    mixed = " ".join(by[a][:40] + by[b][:90])
-    row = language.predict(awkward(spark, [(1, mixed, a, "s")]), model).first()
-    assert row.lang_pred == b and row.n_words == 130
-    right = sum(
-        sum(run.lang == (a if i < 40 else b) for i in range(run.start, run.stop)) for run in row.runs
+    assert sorted(by) == model.labels
+    right = total = 0
+    for a, b in itertools.permutations(sorted(by), 2):
+        # Stretches of ten words in turn, and a long one.
+        parts = [(x, by[x][i : i + 10]) for i in range(0, 40, 10) for x in (a, b)] + [(b, by[b][40:90])]
+        gold = [x for x, words in parts for _ in words]
+        got = language.predict(awkward(spark, [(1, " ".join(w for _, ws in parts for w in ws), a, "s")]), model).first()
+        assert got.lang_pred == b and got.n_words == len(gold) and len(got.runs) >= 2
+        right += sum(gold[i] == run.lang for run in got.runs for i in range(run.start, run.stop))
+        total += len(gold)
+    print("words of switched texts", right / total)
+    # 0.86; with spans of one language only it is 0.77.
+    assert right / total > 0.82
+
+
+def test_text_in_no_learned_language_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null")
+    model = language.train(docs)
+    other = docs.withColumn(
+        "text", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψωϊϋ")
     )
-    assert right > 110 and len(row.runs) >= 2
+    n = docs.count()
+    assert language.keep_known(docs, model, 0.3).count() > 0.999 * n
+    assert language.keep_known(other, model, 0.3).count() < 0.01 * n
+    # The same with one language held back that shares no letters with the others.
+    both = docs.unionByName(other.withColumn("lang", F.lit("el")).withColumn("doc_id", F.col("doc_id") + 10**6))
+    assert "el" in language.train(both).labels
+    wide = language.train(both)
+    assert language.keep_known(other, wide, 0.3).count() > 0.99 * n
+
+
+def test_very_many_languages(spark):
+    rng = np.random.default_rng(8)
+    roots = ["".join(chr(97 + c) for c in rng.integers(26, size=4)) for _ in range(1500)]
+    rows = [(i, f"{roots[i]}a {roots[i]}o {roots[i]}a", f"l{i:04d}", "s") for i in range(1500)]
+    docs = awkward(spark, rows)
+    model = language.train(docs, rounds=2)
+    taught = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1500))
+    assert len(model.labels) == taught
+    assert model.weights.size <= language.MAX_WEIGHTS
+    assert len(language.train(docs, rounds=1, max_labels=7).labels) == 7
+    got = language.predict(docs.limit(20), model).collect()
+    assert all(r.lang_pred in model.labels for r in got)
+
+
+def test_each_label_brings_its_own_features():
+    many = [("a", [f"w{i}x" for i in range(j, j + 60)]) for j in range(0, 600, 60)] * 5
+    few = [("b", ["zqa", "zqb"])] * 5
+    model = language.fit(many + few, rounds=1, features_per_label=20, lexicon_per_label=3)
+    assert {"^z", "zq"} <= set(model.features) and {"zqa", "zqb"} <= set(model.lexicon)
+    assert len(model.features) <= 40 and len(model.lexicon) <= 6
 
 
 def test_awkward(spark):
@@ -70,7 +150,7 @@ def test_awkward(spark):
         if r.doc_id in (3, 4, 5, 8):
             assert (r.lang_pred, r.score, r.n_words, r.runs) == ("und", 0.0, 0, [])
         assert r.lang_pred in {*model.labels, "und"}
-    kept = language.keep_known(awkward(spark), model, 0.0)
+    kept = language.keep_known(awkward(spark), model, 0.0, 0.0)
     assert kept.columns == awkward(spark).columns
     assert kept.count() == sum(r.lang_pred != "und" for r in got)
     nothing = language.train(empty(spark))
