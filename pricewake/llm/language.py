@@ -72,12 +72,14 @@ def grams_of(word: str) -> list[str]:
     return [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np.ndarray):
+def forward_backward(
+    emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np.ndarray, count: bool = True
+):
     """Posteriors (spans, SPAN, labels) of spans sorted by falling length.
 
     ``emit``, ``move`` and ``start`` are scores, not probabilities. The rows of ``move`` are to stay in a label, to
     leave it and to enter it; from one label to another both of the latter count. Also returns the
-    expected number of each and the log-likelihood normaliser of every span.
+    expected number of each, zero unless they are to be counted, and the log-likelihood normaliser of every span.
     """
     spans, most, labels = emit.shape
     top = emit.max(axis=2, keepdims=True)
@@ -108,6 +110,8 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, st
         into = later * enter
         others = into.sum(1, keepdims=True) - into
         behind[:n, t] = later * stay + leave * others
+        if not count:
+            continue
         last = ahead[:n, t]
         out = last * leave
         moves[0] += (last * later).sum(0) * stay
@@ -152,7 +156,9 @@ class Model:
 
     def is_known(self, word: str, rows: list[int]) -> bool:
         """Whether the word is in the lexicon, or at least three quarters of its n-grams are features."""
-        return word in self.lexicon or 4 * len(rows) >= 3 * len(grams_of(word))
+        # As many as grams_of gives, without making them.
+        grams = sum(max(0, len(word) + 3 - n) for n in GRAMS)
+        return word in self.lexicon or 4 * len(rows) >= 3 * grams
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Label scores of distinct words, and in the last column whether they are known."""
@@ -189,11 +195,12 @@ class Model:
         at = np.minimum(start[:, None] + np.arange(SPAN), len(scores) - 1)
         live = np.arange(SPAN)[None, :] < length[:, None]
         flat = np.zeros((len(scores), labels))
+        emit = np.ascontiguousarray(scores[:, :labels])
         # Spans are independent; with many labels a few at a time.
         step = max(1, STEP // (SPAN * labels))
         for a in range(0, len(at), step):
             part = slice(a, a + step)
-            posterior, _, _ = forward_backward(scores[at[part], :labels], length[part], self.move, self.start)
+            posterior, _, _ = forward_backward(emit[at[part]], length[part], self.move, self.start, False)
             by_span = posterior.sum(1)
             for i in range(labels):
                 sums[:, i] += np.bincount(owner[part], by_span[:, i], len(texts))
