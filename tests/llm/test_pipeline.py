@@ -24,8 +24,14 @@ def test_stages(spark):
             model = language.train(docs)
             want = Counter()
             for r in before:
-                sums, words = model.label([r.text])
-                if len(words[0]) and sums[0].max() / len(words[0]) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
+                sums, words, _ = model.label([r.text])
+                known = 0
+                for word in language.words_of(r.text):
+                    grams = language.grams_of(word)
+                    found = sum(g in model.features for g in grams) + (word in model.lexicon)
+                    known += word in model.lexicon or found >= 0.75 * len(grams)
+                n = len(words[0])
+                if n and sums[0].max() / n >= corpus_pipeline.MIN_LANGUAGE_SCORE and known + 3 >= 0.6 * (n + 3):
                     want[r.doc_id] += 1
             assert got == want
         elif name == "near_copies":
