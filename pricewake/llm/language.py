@@ -53,7 +53,7 @@ JOIN_EVERY = 2
 MEMO_CELLS = 400_000
 # Numbers in the largest array of a training step.
 STEP = 1 << 22
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 MIN_KNOWN = 0.6
 # So many known words are lent to every text, as a few unknown ones say little.
 LENT = 3
