@@ -21,13 +21,14 @@ from pricewake.session import written
 
 # A record without a quoted end runs to the end of its file.
 _FIELD_END = re.compile(r'(?:[^"]|"")*"(?!")')
-_JSON_MARK = re.compile(r'\\.|["{]', re.DOTALL)
+_ESCAPED = re.compile(r"\\.", re.DOTALL)
 
 
 class CsvLines:
     """Pieces are lines; a record ends with a line that ends outside quotes."""
 
     separator = "\n"
+    headed = True
 
     @staticmethod
     def after(piece: str, quoted: bool) -> tuple[bool, int]:
@@ -64,15 +65,16 @@ class JsonObjects:
     """Pieces end before a closing brace; a record is an object that stands in nothing but the array."""
 
     separator = "}"
+    headed = False
 
     @staticmethod
     def after(piece: str, quoted: bool) -> tuple[bool, int]:
-        depth = 0
-        for mark in _JSON_MARK.findall(piece):
-            if mark == '"':
-                quoted = not quoted
-            elif mark == "{" and not quoted:
-                depth += 1
+        if "\\" in piece:
+            piece = _ESCAPED.sub("", piece)
+        # Every second part stands outside quotes.
+        parts = piece.split('"')
+        depth = "".join(parts[quoted::2]).count("{")
+        quoted = quoted == (len(parts) % 2 == 1)
         return quoted, depth if quoted else depth - 1
 
     @staticmethod
@@ -127,7 +129,7 @@ def _summed(pieces: DataFrame, kind) -> DataFrame:
                     yield out()
                     rows.clear()
                 # The first line of a file is read whole into its row.
-                rows.append([file, block, False, 0, True, 0, value if block == 0 else None])
+                rows.append([file, block, False, 0, True, 0, value if kind.headed and block == 0 else None])
             row = rows[-1]
             for at in (2, 4):
                 row[at], change = kind.after(value, row[at])
@@ -240,7 +242,7 @@ def _joined(fragments: DataFrame, kind) -> DataFrame:
 def records(spark: SparkSession, path: str, kind) -> DataFrame:
     """(file, block, place, header, record) of all files below a path; large files are read by many tasks.
 
-    ``header`` is the first piece of the file. The record's place is where it starts, so that (file, block, place)
+    ``header`` is the first line of a file of lines, null in others. The record's place is where it starts, so that (file, block, place)
     orders the records of a file. Empty lines are no records. The sums of the blocks are written below
     ``spark.checkpoint.dir``; they meet the pieces in a join that the planner broadcasts as long as they are few.
     """

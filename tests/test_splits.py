@@ -119,3 +119,28 @@ def test_sums_of_parts_are_sums_of_the_whole(kind):
             first, change = kind.after(piece, first)
             down += change
         assert (state, depth) == (both[first][0], down + both[first][1])
+
+
+def test_objects_carry_no_header(spark, tmp_path):
+    path = tmp_path / "one.json"
+    path.write_text(json.dumps(listings(4, 20)))
+    assert splits.records(spark, str(path), splits.JsonObjects).filter("header IS NOT NULL").count() == 0
+
+
+def test_quotes_and_depth_like_letter_by_letter():
+    def plainly(piece, quoted):
+        depth, skip = -1, False
+        for ch in piece:
+            if skip or ch == "\\":
+                skip = not skip
+            elif ch == '"':
+                quoted = not quoted
+            elif ch == "{" and not quoted:
+                depth += 1
+        return quoted, depth + 1 if quoted else depth
+
+    rng = random.Random(5)
+    for _ in range(5000):
+        piece = "".join(rng.choice('\\"{[a\n, ') for _ in range(rng.randrange(12)))
+        for quoted in (False, True):
+            assert splits.JsonObjects.after(piece, quoted) == plainly(piece, quoted)
