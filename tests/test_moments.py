@@ -6,6 +6,7 @@ import pytest
 
 from pricewake import schemas
 from pricewake.operators import stats
+from pricewake.operators.keyed import changed_rows
 from pricewake.plans import market
 
 NAMES = "listing_key int, flair string, frag_name string, price double, fill_percent double"
@@ -75,3 +76,38 @@ def test_only_touched_items_are_published(spark, tmp_path):
     # Publishing what is there already writes nothing and keeps the version.
     version = index.version()
     assert market.publish(index, index.read()) == 0 and index.version() == version
+
+
+def test_changed_rows_of_many_states_share_one_shuffle(spark):
+    rows = [(i, None if i % 7 == 0 else i % 5, i % 3) for i in range(500)]
+    table = spark.createDataFrame(rows, "k int, v int, w int").repartition("k")
+    states = [
+        table.selectExpr("k", f"CASE WHEN w = {n} THEN v + {n} ELSE v END AS v", f"w <> {n} AND k <> 9 AS there") for n in (0, 1, 2)
+    ]
+    found = [changed_rows(a, b, ["k"], "there") for a, b in zip(states, states[1:])]
+
+    def held(n):
+        return {k: v + n if w == n and v is not None else v for k, v, w in rows if w != n and k != 9}
+
+    for n, changed in enumerate(found):
+        got = {r.k: (r.before and r.before.v, r.after and r.after.v, r.before is None, r.after is None) for r in changed.collect()}
+        a, b = held(n), held(n + 1)
+        want = {k: (a.get(k), b.get(k), k not in a, k not in b) for k in {*a, *b} if (k in a, a.get(k)) != (k in b, b.get(k))}
+        assert got == want and got
+    both = found[0].unionByName(found[1])
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 3
+
+
+def test_the_steps_read_the_listings_once(spark, monkeypatch):
+    from pricewake.catalog import inputs, market_queries
+
+    calls = []
+    real = inputs.listings
+    monkeypatch.setattr(inputs, "listings", lambda *a: calls.append(1) or real(*a))
+    before = []
+    written = market_queries.written
+    monkeypatch.setattr(market_queries, "written", lambda df, name: before.append(name) or written(df, name))
+    assert market_queries.maintained_moments(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1 and before[0] == "listings"
