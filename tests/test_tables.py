@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewake import schemas
+from pricewake.operators.keyed import merge_by_key
 from pricewake.session import scratch_path, shared_dir
-from pricewake.sources import files
+from pricewake.sources import files, tables
 from pricewake.sources.tables import KeyedTable
 from pricewake.streaming import ingest as J
 
@@ -388,3 +389,42 @@ def test_failed_evaluation_is_repeated_over_all_listings(spark, tmp_path, monkey
             ingest.run(posts(spark, SECOND))
     # The alerts changed before the failed run, so the next one still owes them all stored listings.
     assert ingest.run(posts(spark, SECOND))["matches"] == 2
+
+
+def test_fixed_batch_is_neither_copied_nor_shuffled_into_an_empty_table(spark, tmp_path):
+    schema = "k string, v string, first string, at int"
+    made = lambda rows: spark.createDataFrame(rows, schema)
+    names = []
+
+    def table(folder):
+        return KeyedTable(spark, str(tmp_path / folder), made([]).schema, ["k"], ["first"], version_by="at")
+
+    batches = [[("a", "1", "x", 1), ("b", "2", "x", 2)], [("b", "3", "w", 1), ("c", "4", "y", 1), ("a", "5", "y", 2)]]
+    plain, fixed = table("plain"), table("fixed")
+    real = tables.written
+    tables.written = lambda df, name: names.append(name) or real(df, name)
+    try:
+        for batch in batches:
+            want = plain.upsert(made(batch))
+            copied = len(names)
+            assert fixed.upsert(made(batch), fixed=True) == want and len(names) == copied
+    finally:
+        tables.written = real
+    assert sorted(fixed.read().collect()) == sorted(plain.read().collect()) and fixed.read().count() == 3
+    old = table("none").read()
+    plan = merge_by_key(old, made(batches[0]), ["k"], ["first"], version="at", unique=True)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r._change for r in plan.collect()) == ["inserted", "inserted"]
+
+
+def test_landed_files_are_packed_and_many(spark, tmp_path, monkeypatch):
+    from pricewake.catalog import inputs, table_queries
+
+    sf = "/root/testdata/sf0.001"
+    lines = inputs.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(table_queries, "POSTS_PER_FILE", 1000)
+    feed = table_queries._feed(spark, sf)
+    number = table_queries._landed(spark, sf, feed, str(tmp_path / "landing"))
+    found = [p.name for p in (tmp_path / "landing").iterdir() if p.name.startswith("part-")]
+    assert number == -(-lines // 1000) > 2 and len(found) == 2 * number and all(n.endswith(".json.gz") for n in found)
+    assert spark.read.json(str(tmp_path / "landing")).count() == 2 * lines
