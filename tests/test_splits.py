@@ -7,6 +7,7 @@ import random
 import pytest
 
 from pricewake import schemas
+from pricewake.catalog import table_queries
 from pricewake.sources import files, splits
 
 TEXT = ["plain", "two\nlines", 'a "quoted" word', "comma, here", "", "\n\n", 'ends with "', "é ñ", "x" * 90, "{ } [ ]", "\\", '\\"']
@@ -144,3 +145,9 @@ def test_quotes_and_depth_like_letter_by_letter():
         piece = "".join(rng.choice('\\"{[a\n, ') for _ in range(rng.randrange(12)))
         for quoted in (False, True):
             assert splits.JsonObjects.after(piece, quoted) == plainly(piece, quoted)
+
+
+def test_listing_files_are_cut_into_fields_once(spark):
+    """Both statistics of the index read stored rows, not the records."""
+    index = table_queries.files_to_index(spark, "/root/testdata/sf0.001")
+    assert "from_csv" not in index._jdf.queryExecution().optimizedPlan().toString()
